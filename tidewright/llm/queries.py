@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
 
 SQL = {
