@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .langid import op2_language_id
 from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }

@@ -28,8 +28,10 @@ from .common import remainder, small_batches, table, training_texts
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
 PER_CLASS, LONGEST = 2000, 20_000
-BUCKETS, DIM, LOW, HIGH = 1 << 16, 8, 3, 5
-WINDOW, CACHE, THRESHOLD = 64, 300_000, 0.7
+BUCKETS, DIM, LOW, HIGH = 1 << 19, 4, 3, 6
+WINDOW, SHORT, CACHE, THRESHOLD = 1 << 30, 16, 300_000, 0.7
+#: Times the average that the softmax reads: insults are a few words of a window, so plain averages are small.
+GAIN = 16.0
 
 WORD = re.compile(r"\w+")
 
@@ -75,16 +77,18 @@ class Model:
 
 
 def windows(values: np.ndarray, reduce) -> float:
-    """The reduced average of ``values`` over consecutive windows of WINDOW words, the last as long as the rest."""
+    """The reduced average of ``values`` over consecutive windows of WINDOW words, the last as long as the rest
+    (a window of fewer than SHORT words counts as SHORT)."""
     starts = np.arange(0, len(values), WINDOW)
     sizes = np.minimum(WINDOW, len(values) - starts)
-    return reduce(np.add.reduceat(values, starts) / np.maximum(sizes, 16))
+    return reduce(np.add.reduceat(values, starts) / np.maximum(sizes, SHORT))
 
 
-def train(data: list[tuple[str, int]], epochs: int = 12, rate: float = 0.05, batch: int = 100, seed: int = 7) -> Model | None:
-    """Fit vectors and softmax jointly by Adam on the cross-entropy of each text's highest window.
+def train(data: list[tuple[str, int]], epochs: int = 5, rate: float = 0.5, damping: float = 0.01, batch: int = 50, seed: int = 7) -> Model | None:
+    """Fit vectors and softmax jointly by Adagrad on the cross-entropy of each text's highest window.
 
-    None where ``data`` lacks one of the two labels.
+    ``damping`` starts the sums of squares at the size of some tens of gradients, so that n-grams of many texts move
+    far and the n-grams of a single text hardly at all. None where ``data`` lacks one of the two labels.
     """
     data = [(found, y) for text, y in data if (found := words_of(text))]
     if len({y for _, y in data}) < 2:
@@ -96,54 +100,43 @@ def train(data: list[tuple[str, int]], epochs: int = 12, rate: float = 0.05, bat
     lengths = np.array([len(g) for g in grams])
     firsts, flat = np.r_[0, np.cumsum(lengths)], np.concatenate(grams)
     rng = np.random.default_rng(seed)
-    state = {
-        "vectors": rng.normal(0, 0.01, (BUCKETS, DIM)),
-        "head": np.stack([rng.normal(0, 1, DIM), np.zeros(DIM)], 1),
-        "bias": np.zeros(2),
-    }
-    state["head"][:, 1] = -state["head"][:, 0]
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in state.items()}
-    step = 0
+    vectors = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
+    squares = np.full(BUCKETS, damping, np.float32)
+    head = rng.normal(0, 1, DIM)
+    head, bias = np.stack([head, -head], 1), np.zeros(2)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             words, back = np.unique(np.concatenate([texts[i] for i in own]), return_inverse=True)
             n = lengths[words]
+            edges = np.r_[0, np.cumsum(n)[:-1]]
             # positions in ``flat`` of the subwords of each distinct word
-            spots = np.repeat(firsts[words] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            sub = flat[spots]
-            inside = np.add.reduceat(state["vectors"][sub], np.r_[0, np.cumsum(n)[:-1]]) / n[:, None]
+            sub, place = np.unique(flat[np.repeat(firsts[words] - edges, n) + np.arange(n.sum())], return_inverse=True)
+            inside = np.add.reduceat(vectors[sub][place], edges) / n[:, None]
             sizes = np.array([len(texts[i]) for i in own])
             starts = [np.arange(0, s, WINDOW) for s in sizes]
             owner = np.repeat(np.arange(len(own)), [len(s) for s in starts])
             begin = np.concatenate(starts) + np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], [len(s) for s in starts])
             count = np.diff(np.r_[begin, sizes.sum()])
-            means = np.add.reduceat(inside[back], begin) / np.maximum(count, 16)[:, None]
-            logits = means @ state["head"] + state["bias"]
+            means = GAIN * np.add.reduceat(inside[back], begin) / np.maximum(count, SHORT)[:, None]
+            logits = means @ head + bias
             margin = logits[:, 1] - logits[:, 0]
             best = np.lexsort((-margin, owner))
             best = best[np.r_[True, owner[best][1:] != owner[best][:-1]]]
             p = 1 / (1 + np.exp(-np.clip(margin[best], -50, 50)))
-            wrong = np.stack([labels[own] - p, p - labels[own]], 1) / len(own)  # gradient of the loss by the logits
-            to_mean = wrong @ state["head"].T / np.maximum(count[best], 16)[:, None]
+            wrong = np.stack([labels[own] - p, p - labels[own]], 1)  # gradient of the loss by the logits
+            to_mean = GAIN * wrong @ head.T / np.maximum(count[best], SHORT)[:, None]
             seen = np.concatenate([back[b : b + c] for b, c in zip(begin[best], count[best], strict=True)])
             share = np.repeat(to_mean, count[best], axis=0)
             by_word = np.stack([np.bincount(seen, share[:, k], len(words)) for k in range(DIM)], 1) / n[:, None]
             spread = np.repeat(by_word, n, axis=0)
-            gradient = {
-                "vectors": np.stack([np.bincount(sub, spread[:, k], BUCKETS) for k in range(DIM)], 1),
-                "head": means[best].T @ wrong,
-                "bias": wrong.sum(0),
-            }
-            step += 1
-            for k, g in gradient.items():
-                m, v = moments[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                state[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + 1e-4 * state[k] * (k == "vectors")
-    head = state["head"][:, 1] - state["head"][:, 0]
-    return Model((state["vectors"] @ head).astype(np.float32), float(state["bias"][1] - state["bias"][0]))
+            gradient = np.stack([np.bincount(place, spread[:, k], len(sub)) for k in range(DIM)], 1).astype(np.float32)
+            squares[sub] += (gradient * gradient).sum(1)
+            vectors[sub] -= rate * gradient / np.sqrt(squares[sub])[:, None]
+            head -= 0.01 * means[best].T @ wrong / len(own)
+            bias -= 0.5 * wrong.sum(0) / len(own)
+    return Model((GAIN * vectors @ (head[:, 1] - head[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def scored(text: Column, model: Model | None) -> Column:
