@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op10_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .langid import op2_language_id
 from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
+    "op10_byte_bpe": op10_byte_bpe,
     "op2_language_id": op2_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
