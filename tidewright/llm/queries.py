@@ -5,9 +5,13 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .langid import op2_language_id
+from .order_minhash import op6_order_minhash
+from .quality import op8_quality_classifier
 from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
+    "op6_order_minhash": op6_order_minhash,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
     "op2_language_id": op2_language_id,
     "op4_exact_dedup": op4_exact_dedup,
