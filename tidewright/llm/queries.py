@@ -6,10 +6,14 @@ from .bpe import op10_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .langid import op2_language_id
 from .order_minhash import op6_order_minhash
+from .packing import op9_best_fit_packing
 from .quality import op8_quality_classifier
 from .simhash import op5_simhash_near_dedup
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
     "op6_order_minhash": op6_order_minhash,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,

@@ -4,9 +4,10 @@ A word is the bag of its hashed character n-grams (with word ends marked) and of
 or inflection shares most vectors with the words it resembles. A text is the average of its words' vectors, which a
 two-class linear softmax reads. Vectors and softmax are trained jointly in numpy on a bounded sample of labelled texts.
 
-As the softmax is linear, a text's logit is the average of its words' logits: scoring needs one number per distinct
-word, kept in a bounded cache. Whole texts are scored: a text's average is taken over each window of ``WINDOW`` words as
-well, and the highest decides, so that a long text cannot dilute an insult; training does the same.
+As the softmax is linear, a text's logit is the weighted sum of its distinct words' logits: scoring needs one number per
+distinct word, kept in a bounded cache. Whole texts are scored. A word weighs its count, but no word more than 1/SHARE of
+the text, so that a line of one repeated word is no evidence by itself, and a text of fewer than SHORT words is
+averaged as if it had SHORT.
 
 Cases: null, empty and wordless texts score the bias alone; without labelled rows of both classes the score is 0;
 repeated rows score alike; columns besides the text play no part, whatever their names.
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import remainder, small_batches, table, training_texts
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
-PER_CLASS, LONGEST = 2000, 20_000
+PER_CLASS, LONGEST = 2500, 20_000
 BUCKETS, DIM, LOW, HIGH = 1 << 19, 4, 3, 6
-WINDOW, SHORT, CACHE, THRESHOLD = 1 << 30, 16, 300_000, 0.7
-#: Times the average that the softmax reads: insults are a few words of a window, so plain averages are small.
+SHORT, SHARE, CACHE, THRESHOLD = 32, 16, 300_000, 0.7
+#: Times the average that the softmax reads: insults are a few words of a text, so plain averages are small.
 GAIN = 16.0
 
 WORD = re.compile(r"\w+")
@@ -40,6 +43,12 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def weights(found: list[str]) -> dict[str, float]:
+    """What each distinct word adds to the average."""
+    most, over = -(-len(found) // SHARE), max(len(found), SHORT)
+    return {w: min(c, most) / over for w, c in Counter(found).items()}
+
+
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     """Hashes of the word's n-grams of LOW to HIGH characters, ends marked, and of the whole word."""
     marked = f"<{word[:64]}>"
@@ -66,26 +75,14 @@ class Model:
             return out
 
         def score(text: str | None) -> float:
-            found = words_of(text)
-            if not found:
-                return 1 / (1 + np.exp(-bias))
-            values = np.fromiter((cache[w] if w in cache else logit(w) for w in found), np.float64, len(found))
-            best = float(windows(values, np.maximum.reduce))
-            return 1 / (1 + float(np.exp(-np.clip(bias + best, -50, 50))))
+            z = bias + sum(c * (cache[w] if w in cache else logit(w)) for w, c in weights(words_of(text)).items())
+            return 1 / (1 + exp(-min(max(z, -50.0), 50.0)))
 
         return score
 
 
-def windows(values: np.ndarray, reduce) -> float:
-    """The reduced average of ``values`` over consecutive windows of WINDOW words, the last as long as the rest
-    (a window of fewer than SHORT words counts as SHORT)."""
-    starts = np.arange(0, len(values), WINDOW)
-    sizes = np.minimum(WINDOW, len(values) - starts)
-    return reduce(np.add.reduceat(values, starts) / np.maximum(sizes, SHORT))
-
-
-def train(data: list[tuple[str, int]], epochs: int = 5, rate: float = 0.5, damping: float = 0.01, batch: int = 50, seed: int = 7) -> Model | None:
-    """Fit vectors and softmax jointly by Adagrad on the cross-entropy of each text's highest window.
+def train(data: list[tuple[str, int]], epochs: int = 10, rate: float = 0.5, damping: float = 0.003, batch: int = 50, seed: int = 7) -> Model | None:
+    """Fit vectors and softmax jointly by Adagrad on the cross-entropy.
 
     ``damping`` starts the sums of squares at the size of some tens of gradients, so that n-grams of many texts move
     far and the n-grams of a single text hardly at all. None where ``data`` lacks one of the two labels.
@@ -94,7 +91,9 @@ def train(data: list[tuple[str, int]], epochs: int = 5, rate: float = 0.5, dampi
     if len({y for _, y in data}) < 2:
         return None
     vocabulary: dict[str, int] = {}
-    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found]) for found, _ in data]
+    bags = [weights(found) for found, _ in data]
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bag]) for bag in bags]
+    shares = [np.array(list(bag.values())) for bag in bags]
     labels = np.array([y for _, y in data])
     grams = [np.array(subwords(w)) for w in vocabulary]
     lengths = np.array([len(g) for g in grams])
@@ -114,27 +113,19 @@ def train(data: list[tuple[str, int]], epochs: int = 5, rate: float = 0.5, dampi
             # positions in ``flat`` of the subwords of each distinct word
             sub, place = np.unique(flat[np.repeat(firsts[words] - edges, n) + np.arange(n.sum())], return_inverse=True)
             inside = np.add.reduceat(vectors[sub][place], edges) / n[:, None]
-            sizes = np.array([len(texts[i]) for i in own])
-            starts = [np.arange(0, s, WINDOW) for s in sizes]
-            owner = np.repeat(np.arange(len(own)), [len(s) for s in starts])
-            begin = np.concatenate(starts) + np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], [len(s) for s in starts])
-            count = np.diff(np.r_[begin, sizes.sum()])
-            means = GAIN * np.add.reduceat(inside[back], begin) / np.maximum(count, SHORT)[:, None]
+            starts = np.r_[0, np.cumsum([len(texts[i]) for i in own])[:-1]]
+            share = GAIN * np.concatenate([shares[i] for i in own])[:, None]
+            means = np.add.reduceat(inside[back] * share, starts)
             logits = means @ head + bias
-            margin = logits[:, 1] - logits[:, 0]
-            best = np.lexsort((-margin, owner))
-            best = best[np.r_[True, owner[best][1:] != owner[best][:-1]]]
-            p = 1 / (1 + np.exp(-np.clip(margin[best], -50, 50)))
+            p = 1 / (1 + np.exp(-np.clip(logits[:, 1] - logits[:, 0], -50, 50)))
             wrong = np.stack([labels[own] - p, p - labels[own]], 1)  # gradient of the loss by the logits
-            to_mean = GAIN * wrong @ head.T / np.maximum(count[best], SHORT)[:, None]
-            seen = np.concatenate([back[b : b + c] for b, c in zip(begin[best], count[best], strict=True)])
-            share = np.repeat(to_mean, count[best], axis=0)
-            by_word = np.stack([np.bincount(seen, share[:, k], len(words)) for k in range(DIM)], 1) / n[:, None]
+            to_word = np.repeat(wrong @ head.T, [len(texts[i]) for i in own], axis=0) * share
+            by_word = np.stack([np.bincount(back, to_word[:, k], len(words)) for k in range(DIM)], 1) / n[:, None]
             spread = np.repeat(by_word, n, axis=0)
             gradient = np.stack([np.bincount(place, spread[:, k], len(sub)) for k in range(DIM)], 1).astype(np.float32)
             squares[sub] += (gradient * gradient).sum(1)
             vectors[sub] -= rate * gradient / np.sqrt(squares[sub])[:, None]
-            head -= 0.01 * means[best].T @ wrong / len(own)
+            head -= 0.01 * means.T @ wrong / len(own)
             bias -= 0.5 * wrong.sum(0) / len(own)
     return Model((GAIN * vectors @ (head[:, 1] - head[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
