@@ -10,8 +10,10 @@ from .packing import op9_best_fit_packing
 from .quality import op8_quality_classifier
 from .simhash import op5_simhash_near_dedup
 from .toxicity import op3_toxicity
+from .url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op6_order_minhash": op6_order_minhash,
