@@ -43,6 +43,11 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(by)
 
 
+def held_out(by: int, rest: int) -> Column:
+    """Whether doc_id is of the fold that is not learnt from; false for a null id, which is not learnt from either."""
+    return F.coalesce(remainder(F.col("doc_id"), by) == rest, F.lit(False)).alias("held_out")
+
+
 def bounded_per_class(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``label``, chosen by a hash of ``key``: a fixed, documented bound.
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_per_class, remainder, small_batches, table
+from .common import bounded_per_class, held_out, remainder, small_batches, table
 
 ORDER, LEAST, CONTEXTS = 3, 4, 12_000
 #: Of each language at most PER_LANGUAGE texts, none of over LONGEST characters, are learnt from; of at most LANGUAGES
@@ -148,7 +148,7 @@ def judged(text: Column, model: Model) -> Column:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), judged(F.col("text"), fit(spark, sf_dir)).alias("_found"))
+    out = docs.select("doc_id", held_out(3, 1), judged(F.col("text"), fit(spark, sf_dir)).alias("_found"))
     return out.select("doc_id", "held_out", "_found.lang_pred", "_found.score", F.col("_found.bits").alias("bits_per_byte"))
 
 

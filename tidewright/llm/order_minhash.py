@@ -85,7 +85,7 @@ def _text(signature_: np.ndarray) -> str:
     return signature_.astype(">u4").tobytes().hex()
 
 
-COLUMNS = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +106,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((of, len(before), hashlib.sha256(changed.encode()).hexdigest(), _text(print_), _text(edit), likeness(print_, edit), likeness(print_, own)))
             last = None if guard else (bucket, key, text, own)
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
-        yield out.astype({"id": "Int64", "n_chars": "int64", "near_edited": float, "near_next": float})
+        yield out.astype({"id": object, "n_chars": "int64", "near_edited": float, "near_next": float})
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = 4 * n
     cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
-    splits = [-float("inf"), *sorted({float(x) for x in cuts or []}), float("inf")]
+    splits = [-float("inf"), *sorted({float(x) for x in cuts or [0]}), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
 
     def placed(df: DataFrame) -> DataFrame:
@@ -135,7 +135,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(own, guard)).otherwise(F.array(own))
     dealt = found.select("id", "text", F.explode(to).alias("to")).select("to.bucket", "to.guard", "id", "text")
     dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guard", F.desc_nulls_last("id"), "text")
-    return dealt.mapInPandas(_walk, COLUMNS).withColumnRenamed("id", id_col)
+    # As text: pandas would make floats of ids among which one is null.
+    made = dealt.select("bucket", "guard", F.col("id").cast("string").alias("id"), "text").mapInPandas(_walk, COLUMNS)
+    return made.select(F.col("id").cast("long").alias(id_col), *made.columns[1:])
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

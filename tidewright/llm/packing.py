@@ -14,7 +14,7 @@ bounded number of three-number rows and the number of tasks grows with the input
 numbers and lengths are shuffled.
 
 Cases: a null or blank text has no tokens and one empty piece, which joins a bin as any other; a null id is packed and stays
-null; repeated rows are packed as often as they occur; ties go by id and piece; an empty table gives no bins; other columns play no
+null; repeated rows are packed as often as they occur; ties go by the id's text and the piece; an empty table gives no bins; other columns play no
 part, whatever their names.
 """
 
@@ -31,7 +31,7 @@ from .common import table
 #: Permitted lengths in tokens, and what a sequence costs besides its tokens.
 CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096), 32, 8192
 
-SCHEMA = "shard long, bin long, capacity long, used long, id {id}, piece int, offset long, length long"
+SCHEMA = "shard long, bin long, capacity long, used long, id string, piece int, offset long, length long"
 
 
 def words(text: Column) -> Column:
@@ -98,8 +98,10 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", length: Column | None = No
     # Rows that repeat an id would hash alike, so the row's place in the scan is hashed too.
     spread = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
     pieces = sized.where((F.col("n") == 0) | (rest > 0)).select("id", whole.alias("piece"), (whole.cast("long") * most).alias("offset"), rest.alias("length"), spread.alias("shard"))
-    made = SCHEMA.format(id=dict(pieces.dtypes)["id"])
-    packed = pieces.groupBy("shard").applyInPandas(_packed(capacities, overhead), made)
+    # As text: pandas would make floats of ids among which one is null.
+    named = pieces.withColumn("id", F.col("id").cast("string"))
+    packed = named.groupBy("shard").applyInPandas(_packed(capacities, overhead), SCHEMA)
+    packed = packed.withColumn("id", F.col("id").cast(dict(pieces.dtypes)["id"]))
     return packed.unionByName(full).withColumnRenamed("id", id_col)
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches, table, training_texts
+from .common import held_out, remainder, small_batches, table, training_texts
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
 PER_CLASS, LONGEST, THRESHOLD = 1500, 20_000, 0.3
@@ -169,5 +169,5 @@ def fit(spark: SparkSession, sf_dir: str) -> Model | None:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), scored(F.col("text"), fit(spark, sf_dir)).alias("score"))
+    out = docs.select("doc_id", held_out(5, 0), scored(F.col("text"), fit(spark, sf_dir)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -166,5 +166,5 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id. Rows with a null id stay."""
     found = groups(docs, id_col, text_col, radius, words)
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = found.where(found[id_col] > found["component_id"]).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
