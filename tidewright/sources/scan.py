@@ -45,7 +45,7 @@ def files(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFr
 
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """Label files as (path, line_number from 1, line), blank lines left out."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).withColumn("path", F.input_file_name())
+    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
     lines = read.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.where(F.trim("line") != "").select("path", (F.col("at") + 1).alias("line_number"), "line")
 
