@@ -107,9 +107,9 @@ def test_toxicity_shares_ngrams_with_misspellings():
     words = ["house", "river", "green", "walk", "table", "seven", "cloud", "paper"]
     text = lambda extra: " ".join(rng.choice(words) for _ in range(30)) + extra
     model = toxicity.train([(text(" you grumblebum"), 1) for _ in range(60)] + [(text(" you friend"), 0) for _ in range(60)], epochs=20)
-    score = model.scorer()
-    assert score(text(" grumblebumm")) > 0.7 > 0.3 > score(text(" friends"))
-    assert 0 <= score(None) == score("") <= 1
+    bad, good, null, blank = model.scorer()([text(" grumblebumm"), text(" friends"), None, ""])
+    assert bad > 0.7 > 0.3 > good
+    assert 0 <= null == blank <= 1
     assert toxicity.train([("a", 1)]) is None
 
 

@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import held_out, remainder, small_batches, table, training_texts
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
-PER_CLASS, LONGEST = 2500, 20_000
-BUCKETS, DIM, LOW, HIGH = 1 << 19, 4, 3, 6
+PER_CLASS, LONGEST = 4000, 20_000
+BITS, DIM, LOW, HIGH, LETTERS = 19, 4, 3, 6, 64
+BUCKETS = 1 << BITS
+_BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 SHORT, SHARE, CACHE, THRESHOLD = 32, 16, 300_000, 0.7
 #: Times the average that the softmax reads: insults are a few words of a text, so plain averages are small.
 GAIN = 16.0
@@ -49,11 +51,30 @@ def weights(found: list[str]) -> dict[str, float]:
     return {w: min(c, most) / over for w, c in Counter(found).items()}
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Hashes of the word's n-grams of LOW to HIGH characters, ends marked, and of the whole word."""
-    marked = f"<{word[:64]}>"
-    grams = {marked[i : i + n] for n in range(LOW, HIGH + 1) for i in range(len(marked) - n + 1)} | {marked}
-    return [zlib.crc32(g.encode()) % buckets for g in sorted(grams)]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, word numbers) of every n-gram of LOW to HIGH characters of each word, ends marked, and of the whole word.
+
+    All words at once: n-grams are polynomial hashes of code points, formed by shifting one array over itself.
+    """
+    marked = [f"<{w[:LETTERS]}>" for w in words]
+    sizes = np.array([len(m) for m in marked])
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    power = _BASE ** (np.arange(len(codes), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64))
+    hashes, owners = [np.add.reduceat(codes * power, starts) + np.uint64(1)], [np.arange(len(words))]
+    for n in range(LOW, HIGH + 1):
+        if len(codes) < n:
+            break
+        h = np.zeros(len(codes) - n + 1, np.uint64)
+        for k in range(n):
+            h = h * _BASE + codes[k : len(codes) - n + 1 + k]
+        inside = of[: len(h)] == of[n - 1 :]
+        hashes.append(h[inside] * np.uint64(2) + np.uint64(n * int(_MIX) % 2**64))
+        owners.append(of[: len(h)][inside])
+    h = np.concatenate(hashes) * _MIX
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return (h >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
 
 
 @dataclass
@@ -64,40 +85,44 @@ class Model:
     bias: float
 
     def scorer(self):
-        """text -> probability of label 1."""
+        """A function from a list of texts to their probabilities of label 1."""
         cache: dict[str, float] = {}
-        weight, bias = self.weight, self.bias
 
-        def logit(word: str) -> float:
-            if len(cache) >= CACHE:
+        def score(texts: list[str | None]) -> list[float]:
+            bags = [weights(words_of(x)) for x in texts]
+            new = list({w for bag in bags for w in bag if w not in cache})
+            if len(cache) + len(new) > CACHE:
                 cache.clear()
-            cache[word] = out = float(weight[subwords(word)].mean())
-            return out
-
-        def score(text: str | None) -> float:
-            z = bias + sum(c * (cache[w] if w in cache else logit(w)) for w, c in weights(words_of(text)).items())
-            return 1 / (1 + exp(-min(max(z, -50.0), 50.0)))
+                new = list({w for bag in bags for w in bag})
+            if new:
+                at, of = subwords(new)
+                cache.update(zip(new, (np.bincount(of, self.weight[at], len(new)) / np.bincount(of, minlength=len(new))).tolist(), strict=True))
+            found = (self.bias + sum(c * cache[w] for w, c in bag.items()) for bag in bags)
+            return [1 / (1 + exp(-min(max(z, -50.0), 50.0))) for z in found]
 
         return score
 
 
-def train(data: list[tuple[str, int]], epochs: int = 10, rate: float = 0.5, damping: float = 0.003, batch: int = 50, seed: int = 7) -> Model | None:
+def train(data: list[tuple[str, int]], epochs: int = 8, rate: float = 0.5, damping: float = 0.003, batch: int = 50, seed: int = 7) -> Model | None:
     """Fit vectors and softmax jointly by Adagrad on the cross-entropy.
 
     ``damping`` starts the sums of squares at the size of some tens of gradients, so that n-grams of many texts move
     far and the n-grams of a single text hardly at all. None where ``data`` lacks one of the two labels.
     """
-    data = [(found, y) for text, y in data if (found := words_of(text))]
-    if len({y for _, y in data}) < 2:
-        return None
     vocabulary: dict[str, int] = {}
-    bags = [weights(found) for found, _ in data]
-    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bag]) for bag in bags]
-    shares = [np.array(list(bag.values())) for bag in bags]
-    labels = np.array([y for _, y in data])
-    grams = [np.array(subwords(w)) for w in vocabulary]
-    lengths = np.array([len(g) for g in grams])
-    firsts, flat = np.r_[0, np.cumsum(lengths)], np.concatenate(grams)
+    texts, shares, labels = [], [], []
+    for text, y in data:
+        if bag := weights(words_of(text)):
+            texts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bag]))
+            shares.append(np.array(list(bag.values())))
+            labels.append(y)
+    if len(set(labels)) < 2:
+        return None
+    labels = np.array(labels)
+    flat, of = subwords(list(vocabulary))
+    order = np.argsort(of, kind="stable")
+    flat, lengths = flat[order], np.bincount(of, minlength=len(vocabulary))
+    firsts = np.r_[0, np.cumsum(lengths)]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     squares = np.full(BUCKETS, damping, np.float32)
@@ -139,7 +164,7 @@ def scored(text: Column, model: Model | None) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model.scorer()
         for texts in batches:
-            yield pd.Series([of(x) for x in texts], dtype="float64")
+            yield pd.Series(of(list(texts)), dtype="float64")
 
     return score(text)
 
