@@ -34,7 +34,7 @@ PER_CLASS, LONGEST = 4000, 20_000
 BITS, DIM, LOW, HIGH, LETTERS = 19, 4, 3, 6, 64
 BUCKETS = 1 << BITS
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-SHORT, SHARE, CACHE, THRESHOLD = 32, 16, 300_000, 0.7
+SHORT, SHARE, CACHE, CHUNK, THRESHOLD = 32, 16, 300_000, 20_000, 0.7
 #: Times the average that the softmax reads: insults are a few words of a text, so plain averages are small.
 GAIN = 16.0
 
@@ -119,9 +119,12 @@ def train(data: list[tuple[str, int]], epochs: int = 8, rate: float = 0.5, dampi
     if len(set(labels)) < 2:
         return None
     labels = np.array(labels)
-    flat, of = subwords(list(vocabulary))
-    order = np.argsort(of, kind="stable")
-    flat, lengths = flat[order], np.bincount(of, minlength=len(vocabulary))
+    known, parts = list(vocabulary), []
+    for at in range(0, len(known), CHUNK):  # the hashes of all words at once would be the peak of the driver's memory
+        own = known[at : at + CHUNK]
+        found, of = subwords(own)
+        parts.append((found[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(own))))
+    flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
     firsts = np.r_[0, np.cumsum(lengths)]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
