@@ -161,10 +161,3 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id. Rows with a null id stay."""
-    found = groups(docs, id_col, text_col, radius, words)
-    gone = found.where(found[id_col] > found["component_id"]).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
