@@ -1,6 +1,9 @@
 """Licence scans: a trained paragraph classifier whose findings a template comparison confirms.
 
-A paragraph is a line. Its features are the word 1- to 3-grams that the training set's licence paragraphs have; a
+A paragraph is a run of lines up to a blank one, and each of its lines by itself, so that a notice of one line is found amid prose
+and a notice wrapped over lines is found whole. Words leave comment marks behind; a line of marks alone is blank. Where
+the word 3-grams of a template that a paragraph of several lines has reach ``COVER``, the shortest run of lines that holds them is classified, so a long
+paragraph may hold several notices; a paragraph without any finding is classified as a whole. Features are the word 1- to 3-grams that the training set's licence paragraphs have; a
 multinomial logistic regression, kept sparse by a soft threshold after each step, gives each family's probability and that
 of the class ``unknown``. Probabilities are calibrated by a temperature fitted on paragraphs held out of training. A
 paragraph of family f is a finding if f is likelier than ``THRESHOLD``, and is confirmed if at least ``COVER`` of the
@@ -83,6 +86,7 @@ UNKNOWN = "unknown"
 DOCUMENTS, LONGEST, LINES, COPIES = 200, 20_000, 1500, 30
 THRESHOLD, COVER = 0.7, 0.6
 WORD = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*")
+LETTER = re.compile(r"[^\W_]")
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -113,6 +117,60 @@ def cover(words: list[str], family: str) -> float:
     return best
 
 
+def _needed() -> tuple[list[tuple[str, int]], dict[tuple[str, ...], list[int]]]:
+    """(family, number of distinct grams) of each template, and the templates that have each gram."""
+    sizes, of = [], {}
+    for family, texts in TEMPLATES.items():
+        for own in map(words_of, texts):
+            n = min(3, len(own))
+            need = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
+            for gram in need:
+                of.setdefault(gram, []).append(len(sizes))
+            sizes.append((family, len(need)))
+    return sizes, of
+
+
+NEEDED, OF_GRAM = _needed()
+
+
+def runs(lines: list[tuple[int, list[str]]]) -> list[tuple[str, int, int]]:
+    """(family, first, last) of runs of two or more of ``lines`` in which a template reaches COVER, the longest runs first.
+
+    A run is cut as short as COVER allows at its beginning, and takes in the template's further grams at its end.
+    """
+    words = [w for _, own in lines for w in own]
+    at = [k for k, (_, own) in enumerate(lines) for _ in own]
+    hits: dict[int, list[tuple[int, int, tuple]]] = {}
+    for n in (2, 3):
+        own = list(zip(*[words[i:] for i in range(n)], strict=False))
+        if not OF_GRAM.keys().isdisjoint(own):
+            for k, gram in enumerate(own):
+                for t in OF_GRAM.get(gram, ()):
+                    hits.setdefault(t, []).append((at[k], at[k + n - 1], gram))
+    out = set()
+    for t, found in hits.items():
+        family, size = NEEDED[t]
+        count: Counter = Counter()
+        low = high = 0
+        while high < len(found):
+            count[found[high][2]] += 1
+            high += 1
+            if len(count) / size < COVER:
+                continue
+            while count[found[low][2]] > 1:
+                count[found[low][2]] -= 1
+                low += 1
+            while high < len(found) and found[high][2] not in count:
+                count[found[high][2]] += 1
+                high += 1
+            first, last = found[low][0], max(x[1] for x in found[low:high])
+            if first < last:
+                out.add((family, first, last))
+            count.clear()
+            low = high
+    return sorted(out, key=lambda x: (x[1] - x[2], x))
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -130,19 +188,45 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def judged(self, line: int, words: list[str]) -> tuple[int, str, float, float, bool] | None:
+        """(line, family, probability, cover, confirmed) where ``words`` are a finding."""
+        if self.first.isdisjoint(words):
+            return None
+        p = self.probabilities(words)
+        k = int(p.argmax())
+        if self.classes[k] == UNKNOWN or p[k] < THRESHOLD:
+            return None
+        c = cover(words, self.classes[k])
+        return line, self.classes[k], float(p[k]), c, c >= COVER
+
+    def paragraph(self, lines: list[tuple[int, list[str]]]) -> list[tuple[int, str, float, float, bool]]:
+        """The findings of consecutive lines (number, words), in order. A wrapped notice takes the place of what its lines are by themselves."""
+        out = [x for i, words in lines if (x := self.judged(i, words))]
+        if len(lines) < 2:
+            return out
+        wrapped: list[tuple[int, int, tuple]] = []
+        for family, low, high in runs(lines):
+            x = self.judged(lines[low][0], [w for _, words in lines[low : high + 1] for w in words])
+            if x and x[1] == family and x[4] and not any(f[1] == family and a <= high and low <= b for a, b, f in wrapped):
+                wrapped.append((low, high, x))
+        for low, high, x in wrapped:
+            inside = {i for i, _ in lines[low : high + 1]}
+            out = [y for y in out if y[0] not in inside or (y[4] and y[1] != x[1])]
+        out += [x for _, _, x in wrapped]
+        if not out and (x := self.judged(lines[0][0], [w for _, words in lines for w in words])):
+            out.append(x)
+        return sorted(out)
+
     def findings(self, text: str | None) -> list[tuple[int, str, float, float, bool]]:
-        """(line, family, probability, cover, confirmed) of each finding."""
-        out = []
+        """(line, family, probability, cover, confirmed) of each finding; a wrapped notice has the line it begins on."""
+        out, lines = [], []
         for i, line in enumerate((text or "").split("\n")):
-            words = words_of(line)
-            if self.first.isdisjoint(words):
-                continue
-            p = self.probabilities(words)
-            k = int(p.argmax())
-            if self.classes[k] != UNKNOWN and p[k] >= THRESHOLD:
-                c = cover(words, self.classes[k])
-                out.append((i, self.classes[k], float(p[k]), c, c >= COVER))
-        return out
+            if LETTER.search(line):
+                lines.append((i, words_of(line)))
+            elif lines:
+                out += self.paragraph(lines)
+                lines = []
+        return out + self.paragraph(lines)
 
 
 def train(lines: list[str], steps: int = 150, rate: float = 0.5, sparse: float = 2e-4, seed: int = 11) -> Model:
