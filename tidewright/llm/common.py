@@ -70,7 +70,7 @@ def bounded_per_class(rows: DataFrame, label: str, key: str, most: int) -> DataF
     A first aggregation counts the values, a hash threshold then thins each value to about ``1.5 * most`` rows, so
     the window that makes the bound hard sees a bounded number of rows even where one value has most of the table.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+    counts = class_counts(rows, label)
     spread = 1 << 20
     hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread))
     keep = F.lit(False)
@@ -80,6 +80,18 @@ def bounded_per_class(rows: DataFrame, label: str, key: str, most: int) -> DataF
     return rows.where(keep).withColumn("_tw_rank", F.row_number().over(order)).where(F.col("_tw_rank") <= most).drop("_tw_rank")
 
 
+def labelled(spark: SparkSession, sf_dir: str, column: str, fold: Column) -> DataFrame:
+    """(doc_id, label) of the labels that may be learnt from; of a document labelled twice the larger label counts."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(column).cast("int").alias("label"))
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & fold)
+    return labels.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def class_counts(rows: DataFrame, label: str) -> dict:
+    """The number of rows of each value of ``label``, null left out."""
+    return {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+
+
 def training_texts(spark: SparkSession, sf_dir: str, column: str, fold: Column, per_class: int, longest: int) -> list[tuple[str, int]]:
     """(text, label) of labelled documents for fitting: a bounded sample, ordered, on the driver.
 
@@ -87,10 +99,7 @@ def training_texts(spark: SparkSession, sf_dir: str, column: str, fold: Column,
     taken, and none of over ``longest`` characters, so at most ``2 * per_class * longest`` characters arrive. Null
     ids, labels and texts are left out; of a document labelled twice the larger label counts.
     """
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(column).cast("int").alias("label"))
-    labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & fold)
-    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = bounded_per_class(labels, "label", "doc_id", per_class)
+    chosen = bounded_per_class(labelled(spark, sf_dir, column, fold), "label", "doc_id", per_class)
     texts = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
     # The sample has at most 2 * per_class rows of two numbers.
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id")

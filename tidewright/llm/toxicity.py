@@ -2,7 +2,7 @@
 
 A word is the bag of its hashed character n-grams (with word ends marked) and of its own hash, so an unseen misspelling
 or inflection shares most vectors with the words it resembles. A text is the average of its words' vectors, which a
-two-class linear softmax reads. Vectors and softmax are trained jointly in numpy on a bounded sample of labelled texts.
+two-class linear softmax reads. Vectors and softmax are trained jointly in numpy on a bounded sample of labelled texts, and the bias is then set to the labels' true mix.
 
 As the softmax is linear, a text's logit is the weighted sum of its distinct words' logits: scoring needs one number per
 distinct word, kept in a bounded cache. Whole texts are scored. A word weighs its count, but no word more than 1/SHARE of
@@ -20,14 +20,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp
+from math import exp, log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, remainder, small_batches, table, training_texts
+from .common import class_counts, held_out, labelled, remainder, small_batches, table, training_texts
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
 PER_CLASS, LONGEST = 4000, 20_000
@@ -172,10 +172,19 @@ def scored(text: Column, model: Model | None) -> Column:
     return score(text)
 
 
-def fit(spark: SparkSession, sf_dir: str) -> Model | None:
-    """Learns from documents whose crc32 of the id modulo 3 is not 1."""
+def fit(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> Model | None:
+    """Learns from documents whose crc32 of the id modulo 3 is not 1.
+
+    The sample's bound changes the mix of labels, so the bias is shifted by the log-odds that the bound took: a score means the
+    same whether or not the bound applies.
+    """
     small_batches(spark)
-    return train(training_texts(spark, sf_dir, "toxic", remainder(F.col("doc_id"), 3) != 1, PER_CLASS, LONGEST))
+    fold = remainder(F.col("doc_id"), 3) != 1
+    model = train(training_texts(spark, sf_dir, "toxic", fold, per_class, LONGEST))
+    if model is not None:
+        of = class_counts(labelled(spark, sf_dir, "toxic", fold), "label")
+        model.bias += log(of[1] / min(of[1], per_class)) - log(of[0] / min(of[0], per_class))
+    return model
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
