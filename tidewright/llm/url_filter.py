@@ -4,7 +4,8 @@ The trees read lexical features: lengths, depths, the digit ratio, the entropy o
 parameters, and for the host's last one, two and three labels how many labelled URLs end in them and which part of
 those is bad. They are trained from labelled URLs and everything runs in DataFrame operations:
 
-* a bounded sample of at most ``SAMPLE`` URLs of each label is binned at quantiles and counted by bins;
+* suffixes are counted over all labelled URLs;
+* a bounded sample of at most ``SAMPLE`` URLs of each label, weighted to the true numbers, is binned at quantiles and counted by bins;
 * each level of each tree is one aggregation of gradients by node, feature and bin, whose few hundred sums come to the
   driver, which picks the splits of best gain (ties: the first feature, the lowest bin);
 * scoring is a sum of CASE expressions, next to the scan.
@@ -21,7 +22,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_per_class, checkpoint, table
+from .common import bounded_per_class, checkpoint, class_counts, table
 
 #: (verdict, host and path). A rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (
@@ -34,7 +35,7 @@ RULES = (
 #: Pages carry no labels, so the query takes URLs whose host has one of these words as bad and all others as good.
 BAD_WORDS = ("casino", "poker", "bets", "adult", "porn", "xxx", "pills", "viagra", "loans")
 
-SAMPLE, SUFFIXES, BINS, ROUNDS, DEPTH, RATE, RIDGE, SMOOTH = 20_000, 512, 16, 8, 3, 0.4, 1.0, 5.0
+SAMPLE, BINS, ROUNDS, DEPTH, RATE, RIDGE, SMOOTH = 20_000, 16, 8, 3, 0.4, 1.0, 5.0
 LEVELS = (1, 2, 3)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,13 +84,15 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 def features(rows: DataFrame, statistics: list[DataFrame]) -> DataFrame:
     """``rows(_url, _host, _path, ...)`` with the columns of NAMES added.
 
-    Each table of suffix statistics has at most SUFFIXES rows, so it is broadcast.
+    The tables of suffix statistics grow with the hosts, so they are joined to the distinct hosts, and those to the rows.
     """
     out = rows.withColumns(_lexical(F.col("_url"), F.col("_host"), F.col("_path")))
+    hosts = rows.select(F.col("_host").alias("_of")).distinct()
     for k, known in zip(LEVELS, statistics, strict=True):
         own = known.select(F.col("suffix").alias("_suffix"), F.col("rate").alias(f"rate_{k}"), F.col("times").alias(f"times_{k}"))
-        out = out.join(F.broadcast(own), _suffix(F.col("_host"), k) == F.col("_suffix"), "left").drop("_suffix")
-        out = out.withColumns({f"rate_{k}": F.coalesce(f"rate_{k}", F.lit(-1.0)), f"times_{k}": F.coalesce(f"times_{k}", F.lit(0.0))})
+        hosts = hosts.join(own, _suffix(F.col("_of"), k) == F.col("_suffix"), "left").drop("_suffix")
+        hosts = hosts.withColumns({f"rate_{k}": F.coalesce(f"rate_{k}", F.lit(-1.0)), f"times_{k}": F.coalesce(f"times_{k}", F.lit(0.0))})
+    out = out.join(hosts, F.col("_host") == F.col("_of")).drop("_of")
     return out
 
 
@@ -99,13 +102,12 @@ NAMES = [
 ]
 
 
-def suffix_statistics(sample: DataFrame) -> list[DataFrame]:
-    """For each number of labels the SUFFIXES most frequent host endings of ``sample(_host, _label)``."""
+def suffix_statistics(labelled: DataFrame) -> list[DataFrame]:
+    """For each number of labels all host endings of ``labelled(_host, _label)``."""
     out = []
     for k in LEVELS:
-        seen = sample.groupBy(_suffix(F.col("_host"), k).alias("suffix")).agg(F.count("*").alias("n"), F.sum("_label").alias("bad"))
-        top = seen.orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-        out.append(checkpoint(top.select("suffix", ((F.col("bad") + SMOOTH * 0.5) / (F.col("n") + SMOOTH)).alias("rate"), F.log1p(F.col("n").cast("double")).alias("times"))))
+        seen = labelled.groupBy(_suffix(F.col("_host"), k).alias("suffix")).agg(F.count("*").alias("n"), F.sum("_label").alias("bad"))
+        out.append(checkpoint(seen.select("suffix", ((F.col("bad") + SMOOTH * 0.5) / (F.col("n") + SMOOTH)).alias("rate"), F.log1p(F.col("n").cast("double")).alias("times"))))
     return out
 
 
@@ -195,14 +197,22 @@ def train(binned: DataFrame, cuts: dict[str, list[float]]) -> Trees:
 
 
 def fit(labelled: DataFrame) -> tuple[Trees, list[DataFrame]]:
-    """(trees, suffix statistics) from ``labelled(_key, _url, _host, _path, _label)``, of which a bounded sample counts."""
-    sample = checkpoint(bounded_per_class(labelled.where(F.col("_label").isNotNull()), "_label", "_key", SAMPLE))
-    statistics = suffix_statistics(sample)
-    made = checkpoint(features(sample, statistics).select("_label", *NAMES))
+    """(trees, suffix statistics) from ``labelled(_key, _url, _host, _path, _label)``, from all of which suffixes are counted.
+
+    The trees grow on a bounded sample, in which a row weighs as many rows as it stands for.
+    """
+    labelled = labelled.where(F.col("_label").isNotNull())
+    sample = checkpoint(bounded_per_class(labelled, "_label", "_key", SAMPLE))
+    statistics = suffix_statistics(labelled)
+    every, taken = class_counts(labelled, "_label"), class_counts(sample, "_label")
+    weight = F.lit(0.0)
+    for value, n in taken.items():
+        weight = F.when(F.col("_label") == value, F.lit(every[value] / n)).otherwise(weight)
+    made = checkpoint(features(sample, statistics).select("_label", weight.alias("_weight"), *NAMES))
     quantiles = made.agg(*[F.percentile_approx(x, [i / BINS for i in range(1, BINS)], 1000).alias(x) for x in NAMES]).first()
     cuts = {x: sorted({float(v) for v in quantiles[x] or []}) for x in NAMES}
     bins = [sum((F.col(x) > c).cast("int") for c in cuts[x]) + F.lit(0) if cuts[x] else F.lit(0) for x in NAMES]
-    binned = made.groupBy(*[b.alias(x) for b, x in zip(bins, NAMES, strict=True)]).agg(F.count("*").alias("n"), F.sum("_label").alias("bad"))
+    binned = made.groupBy(*[b.alias(x) for b, x in zip(bins, NAMES, strict=True)]).agg(F.sum("_weight").alias("n"), F.sum(F.col("_weight") * F.col("_label")).alias("bad"))
     return train(checkpoint(binned), cuts), statistics
 
 
