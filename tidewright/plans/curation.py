@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tidewright.functions import scalars as S
 from tidewright.operators import graph, metrics, selection, validation
-from tidewright.sources.scan import snapshot, table
+from tidewright.sources.scan import TABLES, snapshot, table
 from tidewright.streaming.events import run_daily
 
 QUERIES, SQL = {}, {}
@@ -293,6 +295,13 @@ def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.fingerprint(table(spark, sf_dir, "nation"))
 
 
+@query("q48b_fingerprint_tables")
+def q48b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row count and identity of every table."""
+    found = [validation.fingerprint(table(spark, sf_dir, name)).select(F.lit(name).alias("table"), "n", "identity") for name in TABLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("q49_seeded_shuffle", "SELECT doc_id, sha256('42|' || cast(doc_id AS varchar)) AS digest, cast(row_number() OVER (PARTITION BY source ORDER BY sha256('42|' || cast(doc_id AS varchar)), doc_id) AS bigint) AS place, source FROM documents")
 def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", S.hash_order(42, F.col("doc_id")).alias("digest"))
