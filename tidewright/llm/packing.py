@@ -13,7 +13,10 @@ There is at most one such piece per row, and they are packed in shards of about
 bounded number of three-number rows and the number of tasks grows with the input. Texts do not move: only ids, piece
 numbers and lengths are shuffled.
 
-Cases: a null or blank text has no tokens and one empty piece, which joins a bin as any other; a null id is packed and stays
+The query and the pipeline stage count a text's length in words (runs without ASCII white space), not in tokens of a tokenizer: a
+sequence may exceed its capacity once tokenized, and a text without spaces is one word. ``length`` takes any other count.
+
+Cases: a null or blank text has no words and one empty piece, which joins a bin as any other; a null id is packed and stays
 null; repeated rows are packed as often as they occur; ties go by the id's text and the piece; an empty table gives no bins; other columns play no
 part, whatever their names.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Permitted lengths in tokens, and what a sequence costs besides its tokens.
+#: Permitted lengths in words (or the unit of ``length``), and what a sequence costs besides them.
 CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096), 32, 8192
 
 SCHEMA = "shard long, bin long, capacity long, used long, id string, piece int, offset long, length long"
@@ -81,7 +84,7 @@ def _packed(capacities: tuple[int, ...], overhead: int):
 
 
 def best_fit(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_rows: int = SHARD) -> DataFrame:
-    """One row per piece: shard, bin (within the shard), capacity, used, id_col, piece, offset, length (in tokens).
+    """One row per piece: shard, bin (within the shard), capacity, used, id_col, piece, offset, length (in words, or the unit of ``length``).
 
     The shard is null where a full stretch is a sequence by itself.
     """
