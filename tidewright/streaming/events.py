@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.validation import first_failure
+from tidewright.sources.shared import shared_folder
 
 
 def validated(events: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 def run_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads the event files as a stream until all are consumed; state and results live in the shared folder."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/events-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parq*")
 
