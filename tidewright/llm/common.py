@@ -1,14 +1,16 @@
-"""What the operators of this subpackage share: tables, training samples, checkpoints, Arrow batches."""
+"""What the operators of this subpackage share: tables, training samples, Arrow batches; checkpoints are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewright.sources.shared import checkpoint, removed, stored  # noqa: F401
+
 #: Rows of an Arrow batch of texts. Spark's default of 10,000 rows would put a gigabyte into a Python worker where
 #: texts are 100 kB long; this many keep a batch of such texts near 25 MB.
 TEXT_BATCH = 256
@@ -27,31 +29,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (a local test) a folder is made here.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder of spark.checkpoint.dir, reread, and the table's path."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stage-")
-    path = f"{base}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path), path
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes what ``stored`` wrote."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+@contextmanager
+def large_batches(spark: SparkSession, rows: int = 50_000) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows for what is executed inside, where rows are a few numbers each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -70,14 +57,13 @@ def bounded_per_class(rows: DataFrame, label: str, key: str, most: int) -> DataF
     A first aggregation counts the values, a hash threshold then thins each value to about ``1.5 * most`` rows, so
     the window that makes the bound hard sees a bounded number of rows even where one value has most of the table.
     """
-    counts = class_counts(rows, label)
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_tw_label")).agg(F.count("*").alias("_tw_n"))
     spread = 1 << 20
     hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (hashed < F.lit(int(min(1.0, 1.5 * most / n) * spread) + 1)))
+    found = rows.join(counts, F.col(label) == F.col("_tw_label"))
+    found = found.where(hashed < F.least(F.lit(1.0), F.lit(1.5 * most) / F.col("_tw_n")) * spread + 1).drop("_tw_label", "_tw_n")
     order = W.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    return rows.where(keep).withColumn("_tw_rank", F.row_number().over(order)).where(F.col("_tw_rank") <= most).drop("_tw_rank")
+    return found.withColumn("_tw_rank", F.row_number().over(order)).where(F.col("_tw_rank") <= most).drop("_tw_rank")
 
 
 def labelled(spark: SparkSession, sf_dir: str, column: str, fold: Column) -> DataFrame:

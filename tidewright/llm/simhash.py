@@ -6,10 +6,12 @@ differ in at most ``radius`` bits, and a component is what links join.
 **Candidates.** Give each bit position i a vector f(i) of radius + 1 bits. For each of the 2^(radius+1) - 1 non-zero
 vectors v, a mask holds the positions with <f(i), v> = 1 (mod 2). Any radius vectors leave some v orthogonal to all of
 them, so for every pair within the radius one mask avoids all the bits in which the two differ: they collide in that
-table, always. With radius 3 there are 15 tables, whose masks keep about half of the bits each.
+table, always. With radius 3 there are 15 tables, whose masks keep about half of the bits each. A wide radius is covered in
+parts: of ``parts`` equal parts of the positions one has at most radius / parts of the differing bits, so masks that cover
+each part by itself cover the whole. Radius 15 in 4 parts takes 60 tables.
 
-**Large buckets.** A bucket of more than ``block`` distinct fingerprints is dealt into 15 smaller ones by a further set
-of masks, for which the same guarantee holds within the bucket; each level halves the bits that may differ, so a
+**Large buckets.** A bucket of more than ``block`` distinct fingerprints is dealt into smaller ones by a further set
+of masks, for which the same guarantee holds within the bucket. In one part each level halves the bits that may differ, so a
 bucket of level k has at most 2^(64 / 2^k) fingerprints, roughly, and the levels end. Nothing is dropped.
 
 **Links.** A bucket of at most ``block`` fingerprints is compared in one task, and leaves a star for each set of
@@ -23,6 +25,7 @@ a null name); repeated rows are kept; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -31,23 +34,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, table
+from .common import checkpoint, large_batches, small_batches, table
 from .components import components
 
 WORDS, RADIUS, SEED, BLOCK, LEVELS = 3, 3, 42, 2048, 8
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint as a signed 64-bit integer. Lower-cases A-Z alone; words end at ASCII white space."""
+def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeats included. Lower-cases A-Z alone; words end at ASCII white space."""
     parts = (text or "").encode().lower().split()  # of bytes: ASCII rules
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     whole, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = np.array([digest(whole, seed)], np.uint64)
-    else:
-        starts = list(accumulate(map(len, parts), lambda at, n: at + n + 1, initial=0))
-        hashes = np.fromiter((digest(whole[i : j - 1], seed) for i, j in zip(starts, starts[words:], strict=False)), np.uint64)
+        return np.array([digest(whole, seed)], np.uint64)
+    starts = list(accumulate(map(len, parts), lambda at, n: at + n + 1, initial=0))
+    return np.fromiter((digest(whole[i : j - 1], seed) for i, j in zip(starts, starts[words:], strict=False)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of ``hashes`` have, as a signed integer; zero for none."""
     n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 255 * 64):  # sums of 255 bits fit a byte
         bits = np.unpackbits(hashes[at : at + 255 * 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -56,12 +62,21 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def masks(level: int, radius: int = RADIUS) -> list[int]:
-    """The 2^(radius+1) - 1 masks of a level as signed 64-bit integers; levels differ in how f is dealt to positions."""
-    top = (1 << (radius + 1)) - 1
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def masks(level: int, radius: int = RADIUS, parts: int = 1) -> list[int]:
+    """The masks of a level as signed 64-bit integers; levels differ in how positions get their parts and vectors."""
+    top = (1 << (radius // parts + 1)) - 1
     step = [1, 37, 23, 43, 29, 31, 41, 19, 47][level % 9]
-    f = [1 + (i * step + (i * i * level) // 7) % top for i in range(64)]
-    out = [sum(1 << i for i in range(64) if (f[i] & v).bit_count() % 2) for v in range(1, top + 1)]
+    if parts == 1:
+        part, f = [0] * 64, [1 + (i * step + (i * i * level) // 7) % top for i in range(64)]
+    else:
+        place = [i * step % 64 for i in range(64)]
+        part, f = [x % parts for x in place], [1 + (x // parts + level) % top for x in place]
+    out = [sum(1 << i for i in range(64) if part[i] == p and (f[i] & v).bit_count() % 2) for p in range(parts) for v in range(1, top + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
@@ -124,20 +139,20 @@ def _compare(radius: int):
 
 def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that join exactly the fingerprints of ``nodes(fp)``, all distinct, which chains of links join."""
-    found, rows = None, nodes.select(F.lit(0).cast("long").alias("key"), "fp")
+    found, rows = [], nodes.select(F.lit(0).cast("long").alias("key"), "fp")
     for level in range(LEVELS):
         dealt = F.array(*[F.xxhash64("key", F.lit(level), F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(level, radius))])
         dealt = rows.select("fp", F.explode(dealt).alias("key"))
         sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         dealt = checkpoint(dealt.join(sizes, "key"))
-        here = dealt if level == LEVELS - 1 else dealt.where(F.col("n") <= block)
-        here = here.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(_compare(radius), "a long, b long")
-        found = here if found is None else found.unionAll(here)
-        if level < LEVELS - 1:
-            rows = dealt.where(F.col("n") > block).select("key", "fp")
-            if rows.isEmpty():
-                break
-    return found.distinct()
+        found.append(dealt if level == LEVELS - 1 else dealt.where(F.col("n") <= block))
+        rows = dealt.where(F.col("n") > block).select("key", "fp")
+        if level == LEVELS - 1 or rows.isEmpty():
+            break
+    here = reduce(DataFrame.unionAll, [x.select("key", "fp") for x in found])
+    edges = here.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(radius), "a long, b long").distinct()
+    with large_batches(nodes.sparkSession):
+        return checkpoint(edges)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, block: int = BLOCK) -> DataFrame:
