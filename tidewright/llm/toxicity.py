@@ -31,10 +31,12 @@ from .common import class_counts, held_out, labelled, remainder, small_batches,
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
 PER_CLASS, LONGEST = 4000, 20_000
-BITS, DIM, LOW, HIGH, LETTERS = 19, 4, 3, 6, 64
+BITS, DIM, LOW, HIGH = 19, 4, 3, 6
 BUCKETS = 1 << BITS
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-SHORT, SHARE, CACHE, CHUNK, THRESHOLD = 32, 16, 300_000, 20_000, 0.7
+SHORT, SHARE, CHUNK, THRESHOLD = 32, 16, 20_000, 0.7
+#: A worker keeps the logits of CACHE words of at most LETTERS characters; characters are hashed BLOCK at a time.
+CACHE, LETTERS, BLOCK = 300_000, 64, 1 << 19
 #: Times the average that the softmax reads: insults are a few words of a text, so plain averages are small.
 GAIN = 16.0
 
@@ -51,30 +53,39 @@ def weights(found: list[str]) -> dict[str, float]:
     return {w: min(c, most) / over for w, c in Counter(found).items()}
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, word numbers) of every n-gram of LOW to HIGH characters of each word, ends marked, and of the whole word.
 
-    All words at once: n-grams are polynomial hashes of code points, formed by shifting one array over itself.
+    Words of any length, ``block`` characters at a time: n-grams are polynomial hashes of code points, formed by shifting
+    one array over itself, and a word's own hash is the sum of its characters' parts.
     """
-    marked = [f"<{w[:LETTERS]}>" for w in words]
-    sizes = np.array([len(m) for m in marked])
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), sizes)
-    starts = np.cumsum(sizes) - sizes
-    power = _BASE ** (np.arange(len(codes), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64))
-    hashes, owners = [np.add.reduceat(codes * power, starts) + np.uint64(1)], [np.arange(len(words))]
-    for n in range(LOW, HIGH + 1):
-        if len(codes) < n:
-            break
-        h = np.zeros(len(codes) - n + 1, np.uint64)
-        for k in range(n):
-            h = h * _BASE + codes[k : len(codes) - n + 1 + k]
-        inside = of[: len(h)] == of[n - 1 :]
-        hashes.append(h[inside] * np.uint64(2) + np.uint64(n * int(_MIX) % 2**64))
-        owners.append(of[: len(h)][inside])
-    h = np.concatenate(hashes) * _MIX
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    marked = "".join([f"<{w}>" for w in words])
+    whole = np.zeros(len(words), np.uint64)
+    for at in range(0, len(marked), block):
+        own = min(block, len(marked) - at)
+        codes = np.frombuffer(marked[at : at + own + HIGH - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        places = np.arange(at, at + len(codes))
+        of = np.searchsorted(ends, places, side="right")
+        inner = (places - (ends - sizes)[of])[:own].astype(np.uint64)
+        first = np.flatnonzero(np.r_[True, of[1:own] != of[: own - 1]])
+        whole[of[first]] += np.add.reduceat(codes[:own] * _BASE**inner, first)
+        for n in range(LOW, HIGH + 1):
+            starts = min(own, len(codes) - n + 1)
+            if starts < 1:
+                break
+            h = np.zeros(starts, np.uint64)
+            for k in range(n):
+                h = h * _BASE + codes[k : starts + k]
+            inside = of[:starts] == of[n - 1 : starts + n - 1]
+            yield _bucket(h[inside] * np.uint64(2) + np.uint64(n * int(_MIX) % 2**64)), of[:starts][inside]
+    yield _bucket(whole + np.uint64(1)), np.arange(len(words))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = h * _MIX
+    return (((h ^ (h >> np.uint64(31))) * _MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
@@ -94,10 +105,13 @@ class Model:
             if len(cache) + len(new) > CACHE:
                 cache.clear()
                 new = list({w for bag in bags for w in bag})
-            if new:
-                at, of = subwords(new)
-                cache.update(zip(new, (np.bincount(of, self.weight[at], len(new)) / np.bincount(of, minlength=len(new))).tolist(), strict=True))
-            found = (self.bias + sum(c * cache[w] for w, c in bag.items()) for bag in bags)
+            sums, times = np.zeros(len(new)), np.zeros(len(new))
+            for at, of in subwords(new):
+                sums += np.bincount(of, self.weight[at], len(new))
+                times += np.bincount(of, minlength=len(new))
+            logits = dict(zip(new, (sums / np.maximum(times, 1)).tolist(), strict=True))
+            cache.update((w, z) for w, z in logits.items() if len(w) <= LETTERS)
+            found = (self.bias + sum(c * (cache[w] if w in cache else logits[w]) for w, c in bag.items()) for bag in bags)
             return [1 / (1 + exp(-min(max(z, -50.0), 50.0))) for z in found]
 
         return score
@@ -122,7 +136,7 @@ def train(data: list[tuple[str, int]], epochs: int = 8, rate: float = 0.5, dampi
     known, parts = list(vocabulary), []
     for at in range(0, len(known), CHUNK):  # the hashes of all words at once would be the peak of the driver's memory
         own = known[at : at + CHUNK]
-        found, of = subwords(own)
+        found, of = (np.concatenate(x) for x in zip(*subwords(own), strict=True))
         parts.append((found[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(own))))
     flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
     firsts = np.r_[0, np.cumsum(lengths)]
