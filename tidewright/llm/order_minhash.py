@@ -6,7 +6,8 @@ entries of two signatures estimates how likely a random choice of PICK k-mers, o
 
 The SIZE hash functions are one 64-bit hash y with SIZE different origins, y - c (mod 2^64): each orders the k-mers at
 random, and its PICK smallest are the cyclic successors of c in one sorted array. So a text is hashed and sorted once
-for numbering the occurrences and once for all functions, in numpy, whatever SIZE is.
+for numbering the occurrences and once for all functions, in numpy, whatever SIZE is; SIZE hashes of every k-mer would take
+five times this operator's whole time. Hashes have one width at every length of text.
 
 ``fingerprints`` compares each text with an edited copy and with the next document by id. Only the texts themselves
 move, once: rows go to buckets that are ranges of ids, and the first row of each bucket goes to the bucket before it
@@ -44,7 +45,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-ORIGINS = _mix(np.arange(1, SIZE + 1, dtype=np.uint64) * _STEP)
+#: A hash is cut to its upper 64 - PLACE bits, whatever the text's length; up to 2^PLACE windows their places fill the rest.
+PLACE = 24
+_CUT, _LOW = np.uint64(PLACE), np.uint64((1 << PLACE) - 1)
+ORIGINS = _mix(np.arange(1, SIZE + 1, dtype=np.uint64) * _STEP) >> _CUT
+
+
+def _sorted(hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cut hashes, places) by hash, then by place. ``place`` are distinct numbers under len(hashes)."""
+    if len(hashes) <= int(_LOW) + 1:
+        packed = np.sort((hashes & ~_LOW) | place)
+        return packed >> _CUT, packed & _LOW
+    by_place = np.empty_like(hashes)
+    by_place[place] = hashes >> _CUT
+    order = np.argsort(by_place, kind="stable")
+    return by_place[order], order.astype(np.uint64)
 
 
 def signature(text: str | None) -> np.ndarray:
@@ -54,17 +69,13 @@ def signature(text: str | None) -> np.ndarray:
     n = len(raw) - K + 1
     windows = np.ndarray((n,), "<u8", raw + bytes(8), strides=(1,))
     x = windows if K == 8 else windows & np.uint64((1 << 8 * K) - 1)
-    bits = np.uint64(max(24, n.bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
-    place = np.arange(n, dtype=np.uint64)
-    first = np.sort((_mix(x) & ~low) | place)  # by k-mer, then by place
-    kmer = first >> bits
+    kmer, at = _sorted(_mix(x), np.arange(n, dtype=np.uint64))
     new = np.r_[True, kmer[1:] != kmer[:-1]]
-    occurrence = place - np.maximum.accumulate(np.where(new, place, np.uint64(0)))
-    kmer += occurrence * _STEP
-    second = np.sort((_mix(kmer) & ~low) | (first & low))
-    picked = second[(np.searchsorted(second, ORIGINS)[:, None] + np.arange(PICK)) % n]
-    ordered = np.take_along_axis(picked >> bits, np.argsort(picked & low, axis=1, kind="stable"), 1)
+    rank = np.arange(n, dtype=np.uint64)
+    occurrence = rank - np.maximum.accumulate(np.where(new, rank, np.uint64(0)))
+    second, at = _sorted(_mix(kmer + occurrence * _STEP), at)
+    picks = (np.searchsorted(second, ORIGINS)[:, None] + np.arange(PICK)) % n
+    ordered = np.take_along_axis(second[picks], np.argsort(at[picks], axis=1, kind="stable"), 1)
     out = ordered[:, 0].copy()
     for i in range(1, PICK):
         out = _mix(out * _STEP + ordered[:, i])
