@@ -27,6 +27,8 @@ from .common import held_out, remainder, small_batches, table, training_texts
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
 PER_CLASS, LONGEST, THRESHOLD = 1500, 20_000, 0.3
+#: Lines scored at once, which bounds a worker's memory whatever the texts of a batch; a longer text is scored alone.
+LINES = 100_000
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -110,15 +112,41 @@ class Model:
     middle: np.ndarray
     spread: np.ndarray
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        made = [line_features(x or "") for x in texts]
-        if not made:
-            return np.empty(0)
-        sizes = np.array([len(n) for _, n in made])
-        x = np.vstack([with_neighbours((f - self.middle) / self.spread) for f, _ in made])
-        good = forward_backward(x @ self.states.T, self.moves, sizes)[0][:, 1]
-        length, starts = np.concatenate([n for _, n in made]), np.cumsum(sizes) - sizes
-        return np.clip(np.add.reduceat(good * length, starts) / np.add.reduceat(length, starts), 0, 1)
+    def line_scores(self, features: np.ndarray) -> np.ndarray:
+        """What ``with_neighbours`` of the features times the states gives, without forming it."""
+        x, k = (features - self.middle) / self.spread, features.shape[1]
+        out = self.states[:, 0] + x @ self.states[:, 1 : k + 1].T
+        out[1:] += (x @ self.states[:, k + 1 : 2 * k + 1].T)[:-1]
+        out[:-1] += (x @ self.states[:, 2 * k + 1 : 3 * k + 1].T)[1:]
+        out[0] += self.states[:, -2]
+        out[-1] += self.states[:, -1]
+        return out
+
+    def score(self, texts: list[str | None], lines: int = LINES) -> np.ndarray:
+        """The score of each text, as many at once as have ``lines`` lines together, and one at least."""
+        out, scores, lengths = [], [], []
+
+        def flush() -> None:
+            sizes = np.array([len(n) for n in lengths])
+            good = forward_backward(np.concatenate(scores), self.moves, sizes)[0][:, 1]
+            length, starts = np.concatenate(lengths), np.cumsum(sizes) - sizes
+            out.append(np.clip(np.add.reduceat(good * length, starts) / np.add.reduceat(length, starts), 0, 1))
+            scores.clear()
+            lengths.clear()
+
+        waiting = 0
+        for x in texts:
+            own = (x or "").count("\n") + 1
+            if lengths and waiting + own > lines:
+                flush()
+                waiting = 0
+            features, length = line_features(x or "")
+            scores.append(self.line_scores(features))
+            lengths.append(length)
+            waiting += own
+        if lengths:
+            flush()
+        return np.concatenate(out) if out else np.empty(0)
 
 
 def train(data: list[tuple[str, int]], steps: int = 120, rate: float = 0.05, ridge: float = 1e-3) -> Model | None:
