@@ -9,9 +9,9 @@ Pieces go longest first:
   to come: as long as enough remain to fill it, that is the capacity of the best rate; towards the end, smaller ones;
 * finally every bin shrinks to the smallest permitted length that holds its contents.
 
-There is at most one such piece per row, and they are packed in shards of about ``SHARD`` pieces, dealt by a hash, so a task holds a
-bounded number of three-number rows and the number of tasks grows with the input. Texts do not move: only ids, piece
-numbers and lengths are shuffled.
+There is at most one such piece per row, and they are packed in shards of about ``SHARD`` rows, dealt by a hash, so a task holds a
+bounded number of two-number rows and the number of tasks grows with the input. Texts do not move: only ids and lengths
+are shuffled.
 
 The query and the pipeline stage count a text's length in words (runs without ASCII white space), not in tokens of a tokenizer: a
 sequence may exceed its capacity once tokenized, and a text without spaces is one word. ``length`` takes any other count.
@@ -23,13 +23,12 @@ part, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, table
 
 #: Permitted lengths in words (or the unit of ``length``), and what a sequence costs besides them.
 CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096), 32, 8192
@@ -72,13 +71,24 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead:
 
 
 def _packed(capacities: tuple[int, ...], overhead: int):
+    most = max(capacities)
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        where, sizes = pack(rows["length"].tolist(), capacities, overhead)
-        rows["bin"] = where
-        rows["capacity"] = [sizes[b] for b in where]
-        rows["used"] = rows.groupby("bin")["length"].transform("sum")
-        return rows[["shard", "bin", "capacity", "used", "id", "piece", "offset", "length"]]
+        """The sequences of one shard's (shard, id, n): first the packed bins, then a bin for each full stretch."""
+        rows = rows.sort_values(["n", "id"], ascending=[False, True], kind="stable", ignore_index=True)
+        full = rows["n"] // most
+        pieces = pd.DataFrame({"id": rows["id"], "piece": full, "offset": full * most, "length": rows["n"] % most})
+        pieces = pieces[(rows["n"] == 0) | (pieces["length"] > 0)]
+        pieces = pieces.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        where, sizes = pack(pieces["length"].tolist(), capacities, overhead)
+        pieces["bin"] = where
+        pieces["capacity"] = [sizes[b] for b in where]
+        pieces["used"] = pieces.groupby("bin")["length"].transform("sum")
+        at = np.repeat(np.arange(len(rows)), full)
+        stretch = np.arange(len(at)) - np.repeat(np.cumsum(full) - full, full)
+        whole = pd.DataFrame({"id": rows["id"].to_numpy()[at], "piece": stretch.to_numpy(), "offset": stretch.to_numpy() * most, "bin": len(sizes) + np.arange(len(at))})
+        out = pd.concat([pieces, whole.assign(length=most, capacity=most, used=most)] if len(at) else [pieces]).assign(shard=key[0])
+        return out[["shard", "bin", "capacity", "used", "id", "piece", "offset", "length"]]
 
     return run
 
@@ -86,26 +96,17 @@ def _packed(capacities: tuple[int, ...], overhead: int):
 def best_fit(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_rows: int = SHARD) -> DataFrame:
     """One row per piece: shard, bin (within the shard), capacity, used, id_col, piece, offset, length (in words, or the unit of ``length``).
 
-    The shard is null where a full stretch is a sequence by itself.
+    Lengths are counted once. Rows of one id and length are alike, so they are counted and numbered, and the shard follows from
+    id, length and number: the same rows pack alike in any files and any order, and copies of one row spread over the shards.
     """
-    most = max(capacities)
-    sized = docs.select(F.col(id_col).alias("id"), (words(F.col("text")) if length is None else length).cast("long").alias("n"))
-    whole = (F.col("n") / F.lit(most)).cast("int")
-    full = sized.where(F.col("n") >= most).select("id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
-    full = full.select(
-        F.lit(None).cast("long").alias("shard"), F.monotonically_increasing_id().alias("bin"), F.lit(most).cast("long").alias("capacity"),
-        F.lit(most).cast("long").alias("used"), "id", "piece", (F.col("piece").cast("long") * most).alias("offset"), F.lit(most).cast("long").alias("length"),
-    )
-    rest = F.col("n") - whole.cast("long") * most
-    shards = max(1, -(-docs.count() // shard_rows))
-    # Rows that repeat an id would hash alike, so the row's place in the scan is hashed too.
-    spread = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
-    pieces = sized.where((F.col("n") == 0) | (rest > 0)).select("id", whole.alias("piece"), (whole.cast("long") * most).alias("offset"), rest.alias("length"), spread.alias("shard"))
+    sized = docs.select(F.col(f"`{id_col}`").alias("id"), (words(F.col("text")) if length is None else length).cast("long").alias("n"))
+    alike = checkpoint(sized.groupBy("id", "n").agg(F.count("*").alias("times")))
+    shards = max(1, -(-(alike.agg(F.sum("times")).first()[0] or 0) // shard_rows))
+    each = alike.select("id", "n", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
     # As text: pandas would make floats of ids among which one is null.
-    named = pieces.withColumn("id", F.col("id").cast("string"))
-    packed = named.groupBy("shard").applyInPandas(_packed(capacities, overhead), SCHEMA)
-    packed = packed.withColumn("id", F.col("id").cast(dict(pieces.dtypes)["id"]))
-    return packed.unionByName(full).withColumnRenamed("id", id_col)
+    dealt = each.select(F.pmod(F.xxhash64("id", "n", "copy"), F.lit(shards)).cast("long").alias("shard"), F.col("id").cast("string").alias("id"), "n")
+    packed = dealt.groupBy("shard").applyInPandas(_packed(capacities, overhead), SCHEMA)
+    return packed.withColumn("id", F.col("id").cast(alike.schema["id"].dataType)).withColumnRenamed("id", id_col)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
