@@ -1,10 +1,11 @@
 """URL verdicts from host and path rules, and from gradient-boosted trees where no rule fits.
 
-The trees read lexical features: lengths, depths, the digit ratio, the entropy of the characters, the number of
-parameters, and for the host's last one, two and three labels how many labelled URLs end in them and which part of
-those is bad. They are trained from labelled URLs and everything runs in DataFrame operations:
+The trees read lexical features: lengths, depths, the digit ratio, the entropy of the URL's and of the host's characters,
+the number of parameters, and for the host's last one, two and three labels how many labelled URLs end in them and which
+part of those is bad. They are trained from labelled URLs and everything runs in DataFrame operations:
 
-* suffixes are counted over all labelled URLs;
+* suffixes are counted over all labelled URLs; a URL that is learnt from never meets its own label in them: for half of the
+  sample the counts of its whole host are left out, as if the host were new, for the rest those of its fold of FOLDS;
 * a bounded sample of at most ``SAMPLE`` URLs of each label, weighted to the true numbers, is binned at quantiles and counted by bins;
 * each level of each tree is one aggregation of gradients by node, feature and bin, whose few hundred sums come to the
   driver, which picks the splits of best gain (ties: the first feature, the lowest bin);
@@ -36,6 +37,7 @@ RULES = (
 BAD_WORDS = ("casino", "poker", "bets", "adult", "porn", "xxx", "pills", "viagra", "loans")
 
 SAMPLE, BINS, ROUNDS, DEPTH, RATE, RIDGE, SMOOTH = 20_000, 16, 8, 3, 0.4, 1.0, 5.0
+FOLDS = 5
 LEVELS = (1, 2, 3)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,13 +63,18 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
+def _entropy(text: Column) -> Column:
+    """Bits a character of the distribution of the characters of ``text``."""
+    n = F.greatest(F.length(text).cast("double"), F.lit(1.0))
+    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n
+    return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda total, c: total - F.when(share(c) > 0, share(c) * F.log2(share(c))).otherwise(0.0))
+
+
 def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     text = F.coalesce(url, F.lit(""))
     n = F.length(text).cast("double")
     over = F.greatest(n, F.lit(1.0))
     filled = lambda parts: F.size(F.filter(parts, lambda x: x != "")).cast("double")
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / over
-    entropy = F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda total, c: total - F.when(share(c) > 0, share(c) * F.log2(share(c))).otherwise(0.0))
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     return {
         "length": n,
@@ -76,39 +83,49 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "depth": filled(F.split(path, "/")),
         "host_depth": filled(F.split(host, "\\.")),
         "digit_ratio": F.length(F.regexp_replace(text, "[^0-9]", "")) / over,
-        "entropy": entropy,
+        "entropy": _entropy(text),
+        "host_entropy": _entropy(host),
         "parameters": filled(F.split(query, "&")),
     }
 
 
-def features(rows: DataFrame, statistics: list[DataFrame]) -> DataFrame:
+def features(rows: DataFrame, statistics: list[DataFrame], folds: list[DataFrame] | None = None) -> DataFrame:
     """``rows(_url, _host, _path, ...)`` with the columns of NAMES added.
 
-    The tables of suffix statistics grow with the hosts, so they are joined to the distinct hosts, and those to the rows.
+    Rows with a ``_fold`` do without the counts of that fold of their ending in ``folds``, rows with _fold -1 without those of
+    their host. Statistics grow with the hosts, so they are joined to the distinct hosts, and those to the rows.
     """
     out = rows.withColumns(_lexical(F.col("_url"), F.col("_host"), F.col("_path")))
-    hosts = rows.select(F.col("_host").alias("_of")).distinct()
-    for k, known in zip(LEVELS, statistics, strict=True):
-        own = known.select(F.col("suffix").alias("_suffix"), F.col("rate").alias(f"rate_{k}"), F.col("times").alias(f"times_{k}"))
-        hosts = hosts.join(own, _suffix(F.col("_of"), k) == F.col("_suffix"), "left").drop("_suffix")
-        hosts = hosts.withColumns({f"rate_{k}": F.coalesce(f"rate_{k}", F.lit(-1.0)), f"times_{k}": F.coalesce(f"times_{k}", F.lit(0.0))})
-    out = out.join(hosts, F.col("_host") == F.col("_of")).drop("_of")
-    return out
+    by = ["_host"] if folds is None else ["_host", "_fold"]
+    hosts = rows.select(*by).distinct()
+    whole = statistics[-1].select(F.col("suffix").alias("_host"), F.col("n").alias("_host_n"), F.col("bad").alias("_host_bad"))
+    if folds is not None:
+        hosts = hosts.join(whole, "_host", "left")
+    for k, known in zip(LEVELS, statistics, strict=False):
+        hosts = hosts.withColumn("suffix", _suffix(F.col("_host"), k)).join(known, "suffix", "left")
+        n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
+        if folds is not None:
+            hosts = hosts.join(folds[k - 1].select("suffix", "_fold", F.col("n").alias("_n"), F.col("bad").alias("_bad")), ["suffix", "_fold"], "left")
+            new = F.col("_fold") < 0
+            n -= F.coalesce(F.when(new, F.col("_host_n")).otherwise(F.col("_n")), F.lit(0))
+            bad -= F.coalesce(F.when(new, F.col("_host_bad")).otherwise(F.col("_bad")), F.lit(0))
+        rate = F.when(n > 0, (bad + SMOOTH * 0.5) / (n + SMOOTH)).otherwise(-1.0)
+        hosts = hosts.withColumns({f"rate_{k}": rate, f"times_{k}": F.log1p(n.cast("double"))}).drop("suffix", "n", "bad", "_n", "_bad")
+    return out.join(hosts.drop("_host_n", "_host_bad"), by)
 
 
 NAMES = [
-    "length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "entropy", "parameters",
+    "length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "entropy", "host_entropy", "parameters",
     *[f"{x}_{k}" for k in LEVELS for x in ("rate", "times")],
 ]
 
 
-def suffix_statistics(labelled: DataFrame) -> list[DataFrame]:
-    """For each number of labels all host endings of ``labelled(_host, _label)``."""
-    out = []
-    for k in LEVELS:
-        seen = labelled.groupBy(_suffix(F.col("_host"), k).alias("suffix")).agg(F.count("*").alias("n"), F.sum("_label").alias("bad"))
-        out.append(checkpoint(seen.select("suffix", ((F.col("bad") + SMOOTH * 0.5) / (F.col("n") + SMOOTH)).alias("rate"), F.log1p(F.col("n").cast("double")).alias("times"))))
-    return out
+def suffix_statistics(labelled: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of ``labelled(_host, _label, _fold)``: (suffix, n, bad) for each number of labels, and at last for whole hosts; the former by fold."""
+    folds, sums = [], (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    for ending in [*[_suffix(F.col("_host"), k) for k in LEVELS], F.col("_host")]:
+        folds.append(checkpoint(labelled.groupBy(ending.alias("suffix"), "_fold").agg(F.count("*").alias("n"), F.sum("_label").alias("bad"))))
+    return [checkpoint(x.groupBy("suffix").agg(*sums)) for x in folds], folds[:-1]
 
 
 class Trees:
@@ -201,19 +218,22 @@ def fit(labelled: DataFrame) -> tuple[Trees, list[DataFrame]]:
 
     The trees grow on a bounded sample, in which a row weighs as many rows as it stands for.
     """
-    labelled = labelled.where(F.col("_label").isNotNull())
-    sample = checkpoint(bounded_per_class(labelled, "_label", "_key", SAMPLE))
-    statistics = suffix_statistics(labelled)
+    fold = F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(FOLDS)).cast("int")
+    labelled = labelled.where(F.col("_label").isNotNull()).withColumn("_fold", fold)
+    sample = bounded_per_class(labelled, "_label", "_key", SAMPLE)
+    sample = checkpoint(sample.withColumn("_fold", F.when(F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(2)) == 0, F.lit(-1)).otherwise(F.col("_fold"))))
+    statistics, folds = suffix_statistics(labelled)
     every, taken = class_counts(labelled, "_label"), class_counts(sample, "_label")
     weight = F.lit(0.0)
     for value, n in taken.items():
         weight = F.when(F.col("_label") == value, F.lit(every[value] / n)).otherwise(weight)
-    made = checkpoint(features(sample, statistics).select("_label", weight.alias("_weight"), *NAMES))
+    made = checkpoint(features(sample, statistics, folds).select("_label", weight.alias("_weight"), *NAMES))
     quantiles = made.agg(*[F.percentile_approx(x, [i / BINS for i in range(1, BINS)], 1000).alias(x) for x in NAMES]).first()
     cuts = {x: sorted({float(v) for v in quantiles[x] or []}) for x in NAMES}
     bins = [sum((F.col(x) > c).cast("int") for c in cuts[x]) + F.lit(0) if cuts[x] else F.lit(0) for x in NAMES]
     binned = made.groupBy(*[b.alias(x) for b, x in zip(bins, NAMES, strict=True)]).agg(F.sum("_weight").alias("n"), F.sum(F.col("_weight") * F.col("_label")).alias("bad"))
-    return train(checkpoint(binned), cuts), statistics
+    # At most 2 * SAMPLE small rows: in one partition each of the many aggregations is one stage without a shuffle.
+    return train(checkpoint(binned.coalesce(1)), cuts), statistics
 
 
 def judge(pages: DataFrame, model: tuple[Trees, list[DataFrame]], id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -231,8 +251,18 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_host": host, "_path": path})
 
 
-def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    labelled = _parsed(pages.select(F.col("page_id").alias("_key"), F.col("url").alias("_url")).where("url is not null"))
-    bad = F.col("_host").rlike("|".join(BAD_WORDS)).cast("int")
-    return judge(pages, fit(labelled.withColumn("_label", bad)))
+def labelled_urls(urls: DataFrame, url_col: str = "url", label_col: str = "label") -> DataFrame:
+    """What ``fit`` reads, from a table of URLs and labels (1: bad, 0: good); rows without either are left out."""
+    rows = urls.select(F.monotonically_increasing_id().alias("_key"), F.col(url_col).alias("_url"), F.col(label_col).cast("int").alias("_label"))
+    return _parsed(rows.where("_url IS NOT NULL AND _label IS NOT NULL"))
+
+
+def weak_labels(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """``urls`` with ``label``: 1 where the host has one of BAD_WORDS."""
+    return urls.withColumn("label", host_and_path(F.col(url_col))[0].rlike("|".join(BAD_WORDS)).cast("int"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """Judges every page's url. ``labelled(url, label)`` is learnt from; pages have no labels, so without it they get weak ones."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, fit(labelled_urls(weak_labels(pages.select("url")) if labelled is None else labelled)))
