@@ -38,6 +38,17 @@ def test_masks_cover_every_pair_within_the_radius():
             assert any(differ & m == 0 for m in masks)
 
 
+@pytest.mark.parametrize(("radius", "parts"), [(15, 4), (11, 3), (7, 1)])
+def test_masks_in_parts_cover_every_pair_within_the_radius(radius, parts):
+    rng = random.Random(2)
+    for level in range(3):
+        masks = [m & (2**64 - 1) for m in simhash.masks(level, radius, parts)]
+        assert len(masks) == parts * (2 ** (radius // parts + 1) - 1)
+        for _ in range(500):
+            differ = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(differ & m == 0 for m in masks)
+
+
 @pytest.mark.parametrize("block", [2, 2048])
 def test_simhash_components_are_exact(spark, block):
     """Chains of fingerprints a few bits apart, in buckets small and large."""
@@ -69,7 +80,7 @@ def test_simhash_components_are_exact(spark, block):
 
 def test_ppm_code_lengths_are_exact():
     samples = {"x": ["abracadabra abracadabra", "banana"], "y": ["öde nacht", "nacht und tag und nacht"]}
-    model = langid.train(samples, order=langid.ORDER, least=1, most=10**6)
+    model = langid.train(samples, order=langid.ORDER, least=1)
     for text in ["abra", "nacht", "zebra ö?", "a"]:
         want = []
         for lang in model.languages:
@@ -96,6 +107,28 @@ def test_ppm_code_lengths_are_exact():
         assert model.bits(text) == pytest.approx(want, abs=1e-3)
 
 
+def test_languages_have_a_tree_each_and_none_is_left_out():
+    samples = {f"l{i:02}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}qu{i} " * 40] for i in range(70)} | {"large": ["the common words of a large language " * 3000]}
+    model = langid.train(samples)
+    assert len(model.languages) == 71 and all(model.judge(t[0])[0] == x for x, t in samples.items())
+    assert len(__import__("pickle").dumps(model)) < 5e6
+
+
+def test_code_lengths_do_not_depend_on_blocks_or_on_what_is_kept(monkeypatch):
+    model = langid.train({"x": ["abracadabra " * 9], "y": ["öde nacht und tag " * 5]})
+    texts = ["abra nacht " * 30, "ö", "zebra" * 100]
+    want = np.array([model.bits(t) for t in texts])
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    monkeypatch.setattr(langid, "KEPT", 5)
+    other = langid.train({"x": ["abracadabra " * 9], "y": ["öde nacht und tag " * 5]})
+    assert other.bits_of([t.encode() for t in texts]) == pytest.approx(want)
+
+
+def test_numbers_that_are_not_letters():
+    model = langid.train({"x": ["abc abd"], "y": ["xyz xyy"]})
+    assert {model.judge(t)[0] for t in ("½", "²", "Ⅷ", "①", "½ ²!", "٣")} == {"und"} and model.judge("ª")[0] != "und"
+
+
 def test_language_of_texts_without_a_letter():
     model = langid.train({"x": ["abc abd"], "y": ["xyz xyy"]})
     assert [model.judge(t)[0] for t in (None, "", "12 ?!", "abc", "xyz")] == ["und", "und", "und", "x", "y"]
@@ -113,6 +146,56 @@ def test_toxicity_shares_ngrams_with_misspellings():
     assert toxicity.train([("a", 1)]) is None
 
 
+def plain_score(data, model, text):
+    """The average of the words' subword vectors, read by the softmax, one n-gram at a time."""
+    def gram(x):
+        return sum(ord(c) * 0x100000001B3 ** (len(x) - 1 - k) for k, c in enumerate(x))
+
+    def bucket(h):
+        mix, full = 0x9E3779B97F4A7C15, 2**64 - 1
+        h = h * mix & full
+        return ((h ^ h >> 31) * mix & full) >> 64 - toxicity.BITS
+
+    found = re.findall(r"\w+", (text or "").lower())
+    logit = model.bias
+    for word in set(found):
+        marked = f"<{word}>"
+        own = [bucket(2 * gram(marked[i : i + n]) + n * 0x9E3779B97F4A7C15) for n in range(3, 7) for i in range(len(marked) - n + 1)]
+        own.append(bucket(sum(ord(c) * 0x100000001B3**k for k, c in enumerate(marked)) + 1))
+        share = min(found.count(word), math.ceil(len(found) / toxicity.SHARE)) / max(len(found), toxicity.SHORT)
+        logit += share * sum(float(model.weight[b]) for b in own) / len(own)
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_toxicity_against_the_plain_sum_and_beyond_64_letters():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeü") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["a" * 100 + "insult", "a" * 100 + "friend", "", None, "x"]
+    model = toxicity.train([(t, i % 2) for i, t in enumerate(texts[:40])])
+    assert model.scorer()(texts) == pytest.approx([plain_score(None, model, t) for t in texts], abs=1e-6)
+    assert len(set(model.scorer()(texts[40:42]))) == 2
+    for block in (1, 5, 64, 1 << 19):
+        rows = [sorted(zip(of.tolist(), at.tolist(), strict=True)) for at, of in toxicity.subwords(["hello", "x" * 200, "ü"], block)]
+        assert sorted(sum(rows, [])) == sorted(sum([sorted(zip(of.tolist(), at.tolist(), strict=True)) for at, of in toxicity.subwords(["hello", "x" * 200, "ü"])], []))
+
+
+def test_order_minhash_on_both_sides_of_the_packed_length(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcde ") for _ in range(3000))
+    want = [order_minhash.signature(text[:n]).tolist() for n in (500, 1100, 3000)]
+    monkeypatch.setattr(order_minhash, "_LOW", np.uint64(1023))  # texts of over 1,024 windows now take the other way
+
+    def packed(hashes, place):
+        order = np.lexsort((place, hashes >> np.uint64(24)))
+        return (hashes >> np.uint64(24))[order], place[order]
+
+    own = order_minhash._sorted
+    for n, signature in zip((1100, 3000), want[1:], strict=True):
+        assert order_minhash.signature(text[:n]).tolist() == signature
+    h, p = np.array([rng.getrandbits(26) << 20 for _ in range(2000)], np.uint64), np.array(rng.sample(range(2000), 2000), np.uint64)
+    assert all((a == b).all() for a, b in zip(own(h, p), packed(h, p), strict=True))
+
+
 def test_order_minhash():
     text = " ".join(f"w{i * 7919 % 1000}" for i in range(500))
     same = order_minhash.signature(text)
@@ -136,7 +219,7 @@ def test_order_minhash_against_its_definition():
         seen[kmer] += 1
     want = []
     for c in order_minhash.ORIGINS.tolist():
-        least = sorted(pairs, key=lambda y: (y - c) & mask)[: order_minhash.PICK]
+        least = sorted(pairs, key=lambda y: (y - (c << 24)) & mask)[: order_minhash.PICK]
         a, b = (y >> 24 for y in sorted(least, key=lambda y: y & low))
         want.append(mix((a * 0x9E3779B97F4A7C15 + b) & mask) >> 32)
     assert order_minhash.signature(text).tolist() == want
@@ -172,6 +255,17 @@ def test_quality_separates_line_shapes():
     assert quality.train([(good, 1)]) is None
 
 
+def test_quality_of_texts_by_any_number_of_lines_at_once():
+    good, bad = "A plain line of words that ends well.\nAnother one follows here, it is fine.", "BUY!! NOW!! BUY!! NOW!!\n$$$ %%% ### $$$"
+    model = quality.train([(good, 1), (bad, 0)] * 20)
+    texts = [good, None, bad + "\n" + good, "", "one\n" * 300, "x"]
+    assert model.score(texts, lines=1) == pytest.approx(model.score(texts)) and model.score([]).tolist() == []
+    for t in texts:
+        f = quality.line_features(t or "")[0]
+        plain = quality.with_neighbours((f - model.middle) / model.spread) @ model.states.T
+        assert model.line_scores(f) == pytest.approx(plain)
+
+
 def plain_pack(lengths, capacities, overhead):
     bins, left = [], sum(lengths)  # [room, capacity, used, age]
     where = []
@@ -224,6 +318,38 @@ def test_licence_findings():
     assert model.findings(None) == model.findings("") == model.findings("The public library of the city.") == []
 
 
+HELD_OUT = [
+    ("GPL-2.0", True, "Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", False, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.1", True, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License."),
+    ("AGPL-3.0", False, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3, as published by the Free Software Foundation."),
+    ("Apache-2.0", True, 'Licensed to the Foundation under one or more agreements. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy at'),
+    ("MIT", True, 'Copyright (c) 2020 A. Person. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use'),
+    ("BSD", True, "Copyright 2018 The Authors. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file in the root of the source tree."),
+    ("GPL-2.0", False, "GNU General Public License, version 2."),
+]
+
+
+def test_licence_versions_of_wordings_that_are_no_templates():
+    model = licenses.train(["the river runs through the green valley and on", "open the door, said the person of the house", "a version of the story was told"])
+    for family, sure, text in HELD_OUT:
+        for layout in (text, "\n".join(__import__("textwrap").wrap(text, 72))):
+            assert [(x[1], x[4]) for x in model.findings(layout)] == [(family, sure)], layout
+    assert not any(x[4] for x in model.findings("GNU General Public License, version 1."))
+    for text in ("A version of the license for the public library was published by the foundation.", "All rights reserved by the general public.", "Permission is hereby refused."):
+        assert not any(x[4] for x in model.findings(text))
+
+
+def test_licence_probabilities_against_the_plain_softmax():
+    model = licenses.train(["the river runs through the green valley and on"] * 3)
+    for text in ("Released under the MIT License.", "This work is licensed under the terms", "river"):
+        words = re.findall(r"[a-z0-9]+(?:[-.][a-z0-9]+)*", text.lower())
+        have = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        z = [sum(float(model.weight[r, c]) for g, r in model.row.items() if g in have) + float(model.bias[c]) for c in range(len(model.classes))]
+        e = [math.exp((x - max(z)) / model.temperature) for x in z]
+        assert model.probabilities(words) == pytest.approx([x / sum(e) for x in e], rel=1e-3, abs=1e-6)
+
+
 def test_digests_are_of_the_whole_text(spark, folder):
     from tidewright.llm.queries import QUERIES
 

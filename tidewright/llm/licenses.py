@@ -6,8 +6,9 @@ the word 3-grams of a template that a paragraph of several lines has reach ``COV
 paragraph may hold several notices; a paragraph without any finding is classified as a whole. Features are the word 1- to 3-grams that the training set's licence paragraphs have; a
 multinomial logistic regression, kept sparse by a soft threshold after each step, gives each family's probability and that
 of the class ``unknown``. Probabilities are calibrated by a temperature fitted on paragraphs held out of training. A
-paragraph of family f is a finding if f is likelier than ``THRESHOLD``, and is confirmed if at least ``COVER`` of the
-word 3-grams of one template of f occur in it.
+paragraph is a finding if a family, or a set of families that are ``ALIKE``, is likelier than ``THRESHOLD``; of alike families
+it is the one whose template covers it best, so that versions are told apart. It is confirmed if at least ``COVER`` of the word
+3-grams of one template occur in it, one of those with the version number among them.
 
 Training paragraphs are the families' templates under random edits (dropped words, cut ends, words around them), against
 lines of a bounded sample of documents and against statements about rights that name no family. A paragraph without
@@ -49,12 +50,54 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "BSD": (
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
@@ -71,6 +114,14 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "CC-BY-NC-SA": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-ND": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
     "CC0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Released under CC0 1.0 Universal.",
@@ -80,7 +131,12 @@ TEMPLATES = {
 OTHERS = (
     "All rights reserved.", "Copyright 2020 the authors.", "A driving license is required for this work.", "The public library is free and open to any person.",
     "See the terms and conditions of use.", "Version 3 of the software was released.", "The source code of this program is private.", "You may not copy this file.",
+    "Permission is hereby refused to any person who asks for a copy of the notice.", "The general public was free to attend, and the foundation published a version of the terms.",
+    "This work is shown under the terms of the lender and is not licensed to others.", "The program is made available in the public library and at the university.",
 )
+#: Families that share most of their words. Together they must be likely; which of them it is the templates say.
+ALIKE = (("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"), ("BSD", "BSD-2-Clause"), ("CC-BY", "CC-BY-NC", "CC-BY-SA", "CC-BY-NC-SA", "CC-BY-ND"))
+GROUP = {f: next((g for g in ALIKE if f in g), (f,)) for f in TEMPLATES}
 UNKNOWN = "unknown"
 #: At most DOCUMENTS documents of at most LONGEST characters give lines of the class unknown, LINES in all.
 DOCUMENTS, LONGEST, LINES, COPIES = 200, 20_000, 1500, 30
@@ -107,13 +163,22 @@ def _edits(text: str, rng: random.Random, around: list[str], n: int) -> list[lis
     return out
 
 
+def _grams_of(template: str) -> tuple[set[str], set[str]]:
+    """(the template's word 3-grams, or its words if it has fewer, those of them that hold a number: a version)."""
+    own = words_of(template)
+    need = grams(own, min(3, len(own)), min(3, len(own)))
+    return need, {g for g in need if any(c.isdigit() for c in g)}
+
+
+NEED = {f: [_grams_of(t) for t in texts] for f, texts in TEMPLATES.items()}
+
+
 def cover(words: list[str], family: str) -> float:
-    """The largest share of a template's word 3-grams that the paragraph has (of its shorter grams if it has under three words)."""
+    """The largest share of a template's word 3-grams that the paragraph has; a template whose version it lacks gives none."""
     have, best = grams(words), 0.0
-    for template in TEMPLATES.get(family, ()):
-        own = words_of(template)
-        need = grams(own, min(3, len(own)), min(3, len(own)))
-        best = max(best, len(need & have) / len(need))
+    for need, versions in NEED.get(family, ()):
+        if not versions or not versions.isdisjoint(have):
+            best = max(best, len(need & have) / len(need))
     return best
 
 
@@ -181,6 +246,7 @@ class Model:
 
     def __post_init__(self):
         self.first = {g for g in self.row if " " not in g}
+        self.place = {f: i for i, f in enumerate(self.classes)}
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         at = [self.row[g] for g in grams(words) if g in self.row]
@@ -194,10 +260,14 @@ class Model:
             return None
         p = self.probabilities(words)
         k = int(p.argmax())
-        if self.classes[k] == UNKNOWN or p[k] < THRESHOLD:
+        if self.classes[k] == UNKNOWN:
+            return None
+        group = GROUP[self.classes[k]]
+        likely = float(sum(p[self.place[f]] for f in group))
+        if likely < THRESHOLD:
             return None
-        c = cover(words, self.classes[k])
-        return line, self.classes[k], float(p[k]), c, c >= COVER
+        c, _, family = max((cover(words, f), p[self.place[f]], f) for f in group)
+        return line, family, likely, c, c >= COVER
 
     def paragraph(self, lines: list[tuple[int, list[str]]]) -> list[tuple[int, str, float, float, bool]]:
         """The findings of consecutive lines (number, words), in order. A wrapped notice takes the place of what its lines are by themselves."""
@@ -219,10 +289,15 @@ class Model:
 
     def findings(self, text: str | None) -> list[tuple[int, str, float, float, bool]]:
         """(line, family, probability, cover, confirmed) of each finding; a wrapped notice has the line it begins on."""
-        out, lines = [], []
+        out, lines, broken = [], [], False
         for i, line in enumerate((text or "").split("\n")):
             if LETTER.search(line):
-                lines.append((i, words_of(line)))
+                words = words_of(line)
+                if broken and lines and lines[-1][1] and words:  # a word that a hyphen breaks goes to the line it begins on
+                    lines[-1][1][-1] += f"-{words[0]}"
+                    words = words[1:]
+                lines.append((i, words))
+                broken = line.rstrip().endswith("-")
             elif lines:
                 out += self.paragraph(lines)
                 lines = []
@@ -299,7 +374,7 @@ def found(text: Column, model: Model) -> Column:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, the confirmed families in text order, the number of findings, and the first's line."""
+    """One row per document: doc_id, the confirmed families by name, the number of findings, and the first's line."""
     out = table(spark, sf_dir, "documents").select("doc_id", found(F.col("text"), fit(spark, sf_dir)).alias("f"))
     sure = F.filter("f", lambda x: x["confirmed"])
     return out.select(
