@@ -6,7 +6,7 @@ part of those is bad. They are trained from labelled URLs and everything runs in
 
 * suffixes are counted over all labelled URLs; a URL that is learnt from never meets its own label in them: for half of the
   sample the counts of its whole host are left out, as if the host were new, for the rest those of its fold of FOLDS;
-* a bounded sample of at most ``SAMPLE`` URLs of each label, weighted to the true numbers, is binned at quantiles and counted by bins;
+* a bounded sample of at most ``SAMPLE`` distinct URLs of each label, weighted to the true numbers, is binned at quantiles and counted by bins;
 * each level of each tree is one aggregation of gradients by node, feature and bin, whose few hundred sums come to the
   driver, which picks the splits of best gain (ties: the first feature, the lowest bin);
 * scoring is a sum of CASE expressions, next to the scan.
@@ -135,20 +135,17 @@ class Trees:
         self.base, self.trees = base, []
 
     @staticmethod
-    def _column(tree, of) -> Column:
+    def _sql(tree) -> str:
         if not isinstance(tree, tuple):
-            return F.lit(float(tree))
+            return f"{float(tree)!r}D"
         feature, cut, low, high = tree
-        return F.when(of(feature) <= F.lit(cut), Trees._column(low, of)).otherwise(Trees._column(high, of))
+        return f"CASE WHEN {feature} <= {float(cut)!r}D THEN {Trees._sql(low)} ELSE {Trees._sql(high)} END"
 
-    def margin(self, of=F.col) -> Column:
-        total = F.lit(self.base)
-        for tree in self.trees:
-            total = total + self._column(tree, of)
-        return total
+    def margin(self) -> Column:
+        return F.expr(" + ".join([f"{float(self.base)!r}D", *map(self._sql, self.trees)]))
 
-    def probability(self, of=F.col) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin(of)))
+    def probability(self) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
 
 
 def _split(sums: dict, names: list[str]):
@@ -182,15 +179,13 @@ def train(binned: DataFrame, cuts: dict[str, list[float]]) -> Trees:
         p = by_bin.probability()
         rows = binned.withColumns({"_g": F.col("n") * p - F.col("bad"), "_h": F.col("n") * p * (1 - p)})
         for level in range(DEPTH + 1):
-            node = F.lit(0)
+            node = "0"
             for _ in range(level):
-                step = F.lit(-1)
-                for i, (f, b) in splits.items():
-                    step = F.when(node == i, F.when(F.col(names[f]) <= b, 2 * i + 1).otherwise(2 * i + 2)).otherwise(step)
-                node = step
+                steps = "".join(f" WHEN {i} THEN CASE WHEN {names[f]} <= {b} THEN {2 * i + 1} ELSE {2 * i + 2} END" for i, (f, b) in splits.items())
+                node = f"CASE {node}{steps} ELSE -1 END"
             # All nodes of a level in one job: nodes * features * BINS sums at most.
-            each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(x).alias("b")) for f, x in enumerate(names)]))
-            sums = rows.withColumn("_node", node).where("_node >= 0").select("_node", "_g", "_h", each.alias("_at"))
+            each = ", ".join(f"struct({f} AS f, {x} AS b)" for f, x in enumerate(names))
+            sums = rows.withColumn("_node", F.expr(node)).where("_node >= 0").select("_node", "_g", "_h", F.expr(f"explode(array({each}))").alias("_at"))
             found: dict[int, dict] = {}
             for r in sums.groupBy("_node", "_at.f", "_at.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect():
                 found.setdefault(r["_node"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"])
@@ -220,7 +215,8 @@ def fit(labelled: DataFrame) -> tuple[Trees, list[DataFrame]]:
     """
     fold = F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(FOLDS)).cast("int")
     labelled = labelled.where(F.col("_label").isNotNull()).withColumn("_fold", fold)
-    sample = bounded_per_class(labelled, "_label", "_key", SAMPLE)
+    # Copies of a URL are learnt from once, and weigh by the true numbers of their label like all others.
+    sample = bounded_per_class(labelled.dropDuplicates(["_url", "_label"]), "_label", "_key", SAMPLE)
     sample = checkpoint(sample.withColumn("_fold", F.when(F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(2)) == 0, F.lit(-1)).otherwise(F.col("_fold"))))
     statistics, folds = suffix_statistics(labelled)
     every, taken = class_counts(labelled, "_label"), class_counts(sample, "_label")
@@ -252,8 +248,8 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def labelled_urls(urls: DataFrame, url_col: str = "url", label_col: str = "label") -> DataFrame:
-    """What ``fit`` reads, from a table of URLs and labels (1: bad, 0: good); rows without either are left out."""
-    rows = urls.select(F.monotonically_increasing_id().alias("_key"), F.col(url_col).alias("_url"), F.col(label_col).cast("int").alias("_label"))
+    """What ``fit`` reads, from a table of URLs and labels (1: bad, 0: good); rows without either are left out. A URL's key is itself."""
+    rows = urls.select(F.col(url_col).alias("_key"), F.col(url_col).alias("_url"), F.col(label_col).cast("int").alias("_label"))
     return _parsed(rows.where("_url IS NOT NULL AND _label IS NOT NULL"))
 
 
