@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -90,28 +91,45 @@ def test_canonical_hash_ignores_key_order():
     assert S.canonical_hash({"b": 1, "a": "é"}) == S.canonical_hash({"a": "é", "b": 1}) == hashlib.sha256(b'{"a":"\\u00e9","b":1}').hexdigest()
 
 
+def plain_iou(a, b):
+    """Shared unit cells over all unit cells: the boxes have whole corners."""
+    cells = lambda v: {(x, y) for x in range(int(v[0]), int(v[2])) for y in range(int(v[1]), int(v[3]))}
+    one, two = cells(a), cells(b)
+    return len(one & two) / len(one | two) if one | two else 0.0
+
+
+def plain_size(b):
+    area = (b[2] - b[0]) * (b[3] - b[1])
+    return "small" if area < 1024 else "medium" if area < 9216 else "large"
+
+
 def plain_events(truths, guesses):
-    def iou(a, b):
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        i = max(w, 0) * max(h, 0)
-        u = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - i
-        return i / u if u > 0 else 0.0
-
-    used, out = set(), []
-    for k, c, _, b in sorted(guesses, key=lambda g: (-g[2], g[1], g[0])):
-        every = [(iou(b, t[2]), -n, t) for n, t in enumerate(truths)]
-        same = [e for e in every if -e[1] not in used and e[2][1] == c]
-        best, top = max(same, key=lambda e: e[:2], default=None), max(every, key=lambda e: e[:2], default=None)
-        if best and best[0] >= 0.5:
-            used.add(-best[1])
-            out.append((k, best[2][0], "true_positive"))
-        elif top and top[0] >= 0.5 and top[2][1] != c:
-            out.append((k, top[2][0], "class_confusion"))
-        elif best and best[0] >= 0.1:
-            out.append((k, best[2][0], "localization_error"))
+    """(prediction, truth, kind, iou, classes, score, size), from a table of all overlaps that is crossed off."""
+    order = sorted(range(len(guesses)), key=lambda i: (-guesses[i][2], guesses[i][1], guesses[i][0]))
+    shares = {(g, t): plain_iou(guesses[g][3], truths[t][2]) for g in range(len(guesses)) for t in range(len(truths))}
+    open_, out = set(range(len(truths))), []
+    for g in order:
+        k, c, score, box = guesses[g]
+        fits = sorted((-shares[g, t], t) for t in open_ if truths[t][1] == c)
+        near = sorted((-shares[g, t], t) for t in range(len(truths)))
+        own, top = (fits or [(1, None)])[0], (near or [(0.0, None)])[0]
+        if -own[0] >= 0.5:
+            kind, (share, t) = "true_positive", own
+            open_.discard(t)
+        elif -top[0] >= 0.5 and truths[top[1]][1] != c:
+            kind, (share, t) = "class_confusion", top
+        elif -own[0] >= 0.1:
+            kind, (share, t) = "localization_error", own
         else:
-            out.append((k, top[2][0] if top else None, "false_positive"))
-    return out + [(None, t[0], "false_negative") for n, t in enumerate(truths) if n not in used]
+            kind, (share, t) = "false_positive", top
+        hit = truths[t] if t is not None else (None, None, None)
+        out.append((k, hit[0], kind, -share, c, hit[1], score, plain_size(hit[2] if kind == "true_positive" else box)))
+    for t in sorted(open_):
+        k, c, box = truths[t]
+        near = min(((-shares[g, t], n, g) for n, g in enumerate(order) if guesses[g][1] == c), default=None)
+        g = guesses[near[2]] if near else (None, None, None)
+        out.append((g[0], k, "false_negative", -near[0] if near else 0.0, g[1], c, g[2], plain_size(box)))
+    return out
 
 
 IMAGES = "image long, truths array<struct<id:long,class:int,box:struct<x1:double,y1:double,x2:double,y2:double>>>, predictions array<struct<id:long,class:int,score:double,box:struct<x1:double,y1:double,x2:double,y2:double>>>"
@@ -125,17 +143,30 @@ def test_greedy_events_against_the_plain_loop(spark):
         return (float(x), float(y), float(x + rng.randint(0, 9)), float(y + rng.randint(1, 9)))
 
     data = [(i, [(k, rng.randint(0, 1), box()) for k in range(rng.randint(0, 5))], [(k, rng.randint(0, 1), rng.choice([0.2, 0.5, 0.9]), box()) for k in range(rng.randint(0, 6))]) for i in range(60)]
-    got = rows(metrics.greedy_events(spark.createDataFrame(data, IMAGES), "image").select("image", F.coalesce("prediction", F.lit(-1)), F.coalesce("truth", F.lit(-1)), "kind"))
-    want = sorted((i, -1 if p is None else p, -1 if t is None else t, k) for i, ts, gs in data for p, t, k in plain_events(ts, gs))
-    assert got == want
+    columns = ("image", "prediction", "truth", "kind", "iou", "prediction_class", "truth_class", "score", "size")
+    got = sorted((tuple(r) for r in metrics.greedy_events(spark.createDataFrame(data, IMAGES), "image").select(*columns).collect()), key=repr)
+    want = sorted(((i, *e) for i, ts, gs in data for e in plain_events(ts, gs)), key=repr)
+    assert [r[:4] + r[5:] for r in got] == [r[:4] + r[5:] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want])
 
 
 def plain_ap(hits, total):
-    tp = np.cumsum(hits)
-    r, p = np.r_[0, tp / total, 1], np.r_[1, tp / np.arange(1, len(hits) + 1), 0]
-    p = np.maximum.accumulate(p[::-1])[::-1]
-    x = np.linspace(0, 1, 101)
-    return float(np.trapezoid(np.interp(x, r, p), x))
+    """The area under the envelope, read at recalls 0, 1/100, ..., 1 in exact fractions."""
+    points, found = [(Fraction(0), Fraction(1))], 0
+    for n, hit in enumerate(hits, 1):
+        found += bool(hit)
+        points.append((Fraction(found, total), Fraction(found, n)))
+    points.append((Fraction(1), Fraction(0)))
+    high = [(r, max(p for _, p in points[i:])) for i, (r, _) in enumerate(points)]
+
+    def read(x):
+        last = max(i for i, (r, _) in enumerate(high) if r <= x)
+        if last == len(high) - 1:
+            return high[last][1]
+        (r, p), (r2, p2) = high[last : last + 2]
+        return p + (p2 - p) * (x - r) / (r2 - r)
+
+    ys = [read(Fraction(i, 100)) for i in range(101)]
+    return float(sum((a + b) / 200 for a, b in zip(ys, ys[1:], strict=False)))
 
 
 def test_average_precision(spark):
@@ -153,6 +184,64 @@ def test_size_ap_of_a_perfect_detection(spark):
     data = [(1, [(0, 0, (0.0, 0.0, 10.0, 10.0))], [(0, 0, 0.9, (0.0, 0.0, 10.0, 10.0))]), (2, [(0, 1, (0.0, 0.0, 50.0, 50.0))], [])]
     got = {r["size"]: r for r in metrics.size_ap(spark.createDataFrame(data, IMAGES), "image").collect()}
     assert got["small"]["map50"] == pytest.approx(0.995) and got["small"]["map50_95"] == pytest.approx(0.995) and got["medium"]["map50"] == 0
+    assert tuple(got["large"])[1:] == (0, 0, None, None)
+    assert [tuple(r)[1:] for r in metrics.size_ap(spark.createDataFrame([], IMAGES), "image").collect()] == [(0, 0, None, None)] * 3
+
+
+def test_size_ap_against_plain_strata(spark):
+    rng = random.Random(6)
+
+    def box():
+        x, y = rng.randint(0, 30), rng.randint(0, 30)
+        return (float(x), float(y), float(x + rng.randint(10, 60)), float(y + rng.randint(10, 60)))
+
+    data = []
+    for i in range(40):
+        truths = [(k, rng.randint(0, 2), box()) for k in range(rng.randint(0, 4))]
+        guesses = [(k, t[1] if rng.random() < 0.8 else rng.randint(0, 2), rng.random(), tuple(v + rng.choice([0, 0, 1, 4]) for v in t[2])) for k, t in enumerate(truths)] + [(9, rng.randint(0, 2), rng.random(), box())]
+        data.append((i, truths, guesses))
+    got = {r["size"]: r for r in metrics.size_ap(spark.createDataFrame(data, IMAGES), "image").collect()}
+    for size in ("small", "medium", "large"):
+        per = {}
+        for c in range(3):
+            own = {i: [t[2] for t in ts if t[1] == c and plain_size(t[2]) == size] for i, ts, _ in data}
+            total = sum(map(len, own.values()))
+            if not total:
+                continue
+            ranked = sorted((-s, i, b) for i, _, gs in data for _, k, s, b in gs if k == c and plain_size(b) == size)
+            for step in range(10):
+                least, taken, hits = 0.5 + step * (0.55 - 0.5), set(), []
+                for _, i, b in ranked:
+                    best = min(((-plain_iou(b, t), n) for n, t in enumerate(own[i]) if (i, n) not in taken), default=(1, None))
+                    hits.append(-best[0] >= least)
+                    if hits[-1]:
+                        taken.add((i, best[1]))
+                per.setdefault(c, []).append(plain_ap(hits, total) if ranked else 0.0)
+        r = got[size]
+        assert (r["truths"], r["classes"]) == (sum(plain_size(t[2]) == size for _, ts, _ in data for t in ts), len(per))
+        if per:
+            assert r["map50"] == pytest.approx(np.mean([v[0] for v in per.values()])) and r["map50_95"] == pytest.approx(np.mean([np.mean(v) for v in per.values()]))
+
+
+def test_greedy_split_against_the_plain_loop(spark):
+    rng = random.Random(7)
+    data = [(f"g{i}", rng.randint(1, 9), {c: rng.randint(1, 4) for c in rng.sample("abc", rng.randint(1, 3))}) for i in range(60)]
+    goals, total = {"train": 0.7, "val": 0.2, "test": 0.1}, sum(d[1] for d in data)
+    every = {c: sum(d[2].get(c, 0) for d in data) for c in "abc"}
+    tie = lambda g: hashlib.sha256(f"3|{g}".encode()).hexdigest()
+    left, placed = sorted(data, key=lambda d: (-sum(1.0 / every[c] for c in sorted(d[2])), -d[1], tie(d[0]))), {}
+
+    def loss(split, group):
+        trial = placed | {group[0]: split}
+        by = {s: [d for d in data if trial.get(d[0]) == s] for s in goals}
+        size = sum(((sum(d[1] for d in by[s]) - total * g) / max(total * g, 1)) ** 2 for s, g in goals.items())
+        per_class = [((sum(d[2].get(c, 0) for d in by[s]) - every[c] * g) / max(every[c] * g, 1)) ** 2 for s, g in goals.items() for c in "abc"]
+        fill = sum(d[1] for d in data if placed.get(d[0]) == split) / max(total * goals[split], 1)
+        return round(size + sum(per_class) / 3, 12), fill
+
+    for group in left:
+        placed[group[0]] = min(goals, key=lambda s: loss(s, group))
+    assert dict(rows(selection.greedy_split(spark.createDataFrame(data, "group string, size long, classes map<string,long>"), 3))) == placed
 
 
 def test_greedy_split_keeps_groups_and_balances(spark):

@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.functions.scalars import iou, size_bucket
+from tidewright.functions.scalars import area, iou, size_bucket
 
 BOX = "x1 double, y1 double, x2 double, y2 double"
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _ordered(predictions: Column) -> Column:
+    """By falling score, then class, then id."""
+    compare = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["class"] < b["class"], -1).when(a["class"] > b["class"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    return F.array_sort(predictions, compare)
+
+
 def greedy_events(images: DataFrame, key: str, match: float = 0.5, near: float = 0.1) -> DataFrame:
     """One row per prediction and per missed truth of ``images(key, truths, predictions)``.
 
@@ -18,32 +29,58 @@ def greedy_events(images: DataFrame, key: str, match: float = 0.5, near: float =
     falling score, then class, then id, each prediction takes the unmatched truth of its class that overlaps it most (the first on a tie)
     if they overlap by ``match``: true_positive. Else it is a class_confusion if the truth that overlaps it most is of another class and
     overlaps by ``match``; else a localization_error if an unmatched truth of its class overlaps by ``near``; else a
-    false_positive. Truths left are false_negative.
+    false_positive. Truths left are false_negative, with the prediction of their class that overlaps them most (the first in the
+    order on a tie), if any. Rows also have the classes of both, the prediction's score, and the size of the truth for
+    true_positive and false_negative, else of the prediction.
 
-    An image's arrays are folded in order by ``aggregate``: no Python, and state is one image's.
+    The overlaps of an image are computed once; its predictions are then folded in order by ``aggregate``: no Python, and
+    state is one image's.
     """
-    state = "struct<used:array<int>,out:array<struct<prediction:bigint,truth:bigint,kind:string,iou:double>>>"
-    ordered = F.array_sort("predictions", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["class"] < b["class"], -1).when(a["class"] > b["class"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    truths = F.col("truths")
-
-    def step(acc: Column, p: Column) -> Column:
-        scored = F.transform(truths, lambda t, i: F.struct(iou(p["box"], t["box"]).alias("iou"), (-i).alias("back"), t["class"].alias("class"), t["id"].alias("id")))
-        best = F.array_max(F.filter(scored, lambda s: (s["class"] == p["class"]) & ~F.array_contains(acc["used"], -s["back"])))
-        any_ = F.array_max(scored)
-        hit = F.coalesce(best["iou"] >= match, F.lit(False))
-        confused = F.coalesce((any_["iou"] >= match) & (any_["class"] != p["class"]), F.lit(False))
-        loose = F.coalesce(best["iou"] >= near, F.lit(False))
-        kind = F.when(hit, "true_positive").when(confused, "class_confusion").when(loose, "localization_error").otherwise("false_positive")
-        target = F.when(hit, best).when(confused, any_).when(loose, best).otherwise(any_)
-        event = F.struct(p["id"].cast("bigint").alias("prediction"), target["id"].cast("bigint").alias("truth"), kind.alias("kind"), F.coalesce(target["iou"], F.lit(0.0)).alias("iou"))
-        used = F.when(hit, F.concat(acc["used"], F.array(-best["back"]))).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(event)).alias("out")).cast(state)
+    one = "struct<prediction:bigint,truth:bigint,kind:string,iou:double,prediction_class:int,truth_class:int,score:double,size:string>"
+    state = f"struct<used:array<int>,out:array<{one}>>"
+    scored = lambda p: F.transform("truths", lambda t, i: F.struct(iou(p["box"], t["box"]).alias("iou"), (-i).alias("back"), t["class"].alias("class"), t["id"].alias("id"), size_bucket(area(t["box"])).alias("size")))
+    ready = F.transform(_ordered(F.col("predictions")), lambda p: F.struct(p.alias("p"), scored(p).alias("all")))
+    ready = F.transform(ready, lambda r: F.struct(r["p"], r["all"], F.array_max(r["all"]).alias("top")))
+
+    def step(acc: Column, r: Column) -> Column:
+        p, any_ = r["p"], r["top"]
+
+        def judged(best: Column) -> Column:
+            hit = F.coalesce(best["iou"] >= match, F.lit(False))
+            confused = F.coalesce((any_["iou"] >= match) & (any_["class"] != p["class"]), F.lit(False))
+            loose = F.coalesce(best["iou"] >= near, F.lit(False))
+            kind = F.when(hit, "true_positive").when(confused, "class_confusion").when(loose, "localization_error").otherwise("false_positive")
+            target = F.when(hit, best).when(confused, any_).when(loose, best).otherwise(any_)
+            return F.struct(kind.alias("kind"), target.alias("target"), hit.alias("hit"))
+
+        def added(j: Column) -> Column:
+            target = j["target"]
+            event = F.struct(
+                p["id"].alias("prediction"), target["id"].alias("truth"), j["kind"].alias("kind"), F.coalesce(target["iou"], F.lit(0.0)).alias("iou"),
+                p["class"].alias("prediction_class"), target["class"].alias("truth_class"), p["score"].alias("score"), F.when(j["hit"], target["size"]).otherwise(size_bucket(area(p["box"]))).alias("size"),
+            ).cast(one)
+            used = F.when(j["hit"], F.concat(acc["used"], F.array(-target["back"]))).otherwise(acc["used"])
+            return F.struct(used.alias("used"), F.concat(acc["out"], F.array(event)).alias("out")).cast(state)
+
+        free = F.array_max(F.filter(r["all"], lambda s: (s["class"] == p["class"]) & ~F.array_contains(acc["used"], -s["back"])))
+        return _let(_let(free, judged), added)
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().alias("out")).cast(state)
-    folded = images.withColumn("_f", F.aggregate(ordered, start, step))
-    missed = F.filter(F.transform(truths, lambda t, i: F.struct(i.alias("i"), t["id"].cast("bigint").alias("id"))), lambda s: ~F.array_contains(F.col("_f.used"), s["i"]))
-    lost = F.transform(missed, lambda s: F.struct(F.lit(None).cast("bigint").alias("prediction"), s["id"].alias("truth"), F.lit("false_negative").alias("kind"), F.lit(0.0).alias("iou")))
-    return folded.select(key, F.explode(F.concat("_f.out", lost)).alias("e")).select(key, "e.*")
+    folded = images.withColumn("_ready", ready).withColumn("_f", F.aggregate("_ready", start, step))
+    missed = F.filter(F.transform("truths", lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda s: ~F.array_contains(F.col("_f.used"), s["i"]))
+
+    def lost(s: Column) -> Column:
+        own = F.transform("_ready", lambda r, n: F.struct(F.get(r["all"], s["i"])["iou"].alias("iou"), (-n).alias("back"), r["p"].alias("p")))
+        own = F.filter(own, lambda r: r["p"]["class"] == s["t"]["class"])
+        # The place decides before the prediction is compared.
+        nearest = F.array_max(F.transform(own, lambda r: F.struct(r["iou"], r["back"])))
+        found = F.get(F.filter(own, lambda r: r["back"] == nearest["back"]), F.lit(0))["p"]
+        return F.struct(
+            found["id"].alias("prediction"), s["t"]["id"].alias("truth"), F.lit("false_negative").alias("kind"), F.coalesce(nearest["iou"], F.lit(0.0)).alias("iou"),
+            found["class"].alias("prediction_class"), s["t"]["class"].alias("truth_class"), found["score"].alias("score"), size_bucket(area(s["t"]["box"])).alias("size"),
+        ).cast(one)
+
+    return folded.select(key, F.explode(F.concat("_f.out", F.transform(missed, lost))).alias("e")).select(key, "e.*")
 
 
 def average_precision(scored: DataFrame, group: list[str], positives: DataFrame, order: list[Column]) -> DataFrame:
@@ -77,16 +114,16 @@ def average_precision(scored: DataFrame, group: list[str], positives: DataFrame,
 
 
 def size_ap(images: DataFrame, key: str, thresholds: int = 10) -> DataFrame:
-    """(size, truths, classes, map50, map50_95): average precision in strata of truths and predictions of one size.
+    """(size, truths, classes, map50, map50_95) of all three sizes: average precision in strata of truths and predictions of one size.
 
-    Classes without a truth of the size are left out, a class without a prediction of it scores 0. The overlap thresholds
+    A size without a truth has null precisions. Classes without a truth of the size are left out, a class without a prediction of it scores 0. The overlap thresholds
     are 0.5 + i * 0.05 for i under ``thresholds``.
     """
     truths = images.select(key, F.posexplode("truths").alias("no", "t")).select(key, "no", F.col("t.class").alias("class"), F.col("t.box").alias("box"))
-    area = (F.col("box.x2") - F.col("box.x1")) * (F.col("box.y2") - F.col("box.y1"))
-    truths = truths.withColumn("size", size_bucket(area))
+    own_size = size_bucket(area(F.col("box")))
+    truths = truths.withColumn("size", own_size)
     guesses = images.select(key, F.explode("predictions").alias("p")).select(key, F.col("p.id").alias("id"), F.col("p.class").alias("class"), F.col("p.score").alias("score"), F.col("p.box").alias("box"))
-    guesses = guesses.withColumn("size", size_bucket(area))
+    guesses = guesses.withColumn("size", own_size)
     t = truths.groupBy(key, "class", "size").agg(F.array_sort(F.collect_list(F.struct("no", "box"))).alias("truths"))
     g = guesses.groupBy(key, "class", "size").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "box", "id"))).alias("guesses"))
     steps = F.explode(F.transform(F.sequence(F.lit(0), F.lit(thresholds - 1)), lambda i: F.struct(i.alias("step"), (F.lit(0.5) + i * F.lit(0.55 - 0.5)).alias("least"))))
@@ -96,9 +133,12 @@ def size_ap(images: DataFrame, key: str, thresholds: int = 10) -> DataFrame:
 
     def step(acc: Column, p: Column) -> Column:
         free = F.filter(owned, lambda x: ~F.array_contains(acc["used"], x["no"]))
-        best = F.array_max(F.transform(free, lambda x: F.struct(iou(p["box"], x["box"]).alias("iou"), (-x["no"]).alias("back"))))
-        hit = F.coalesce(best["iou"] >= F.col("l.least"), F.lit(False))
-        return F.struct(F.when(hit, F.concat(acc["used"], F.array(-best["back"]))).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(hit)).alias("out")).cast(state)
+
+        def added(best: Column) -> Column:
+            hit = F.coalesce(best["iou"] >= F.col("l.least"), F.lit(False))
+            return F.struct(F.when(hit, F.concat(acc["used"], F.array(-best["back"]))).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(hit)).alias("out")).cast(state)
+
+        return _let(F.array_max(F.transform(free, lambda x: F.struct(iou(p["box"], x["box"]).alias("iou"), (-x["no"]).alias("back")))), added)
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<boolean>").alias("out")).cast(state)
     hits = both.withColumn("hits", F.aggregate("guesses", start, step)["out"])
@@ -110,7 +150,9 @@ def size_ap(images: DataFrame, key: str, thresholds: int = 10) -> DataFrame:
     by_class = ap.groupBy("size", "class").agg(F.avg(F.when(F.col("step") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap5095"))
     per = by_class.groupBy("size").agg(F.count("*").alias("classes"), F.avg("ap50").alias("map50"), F.avg("ap5095").alias("map50_95"))
     n = truths.groupBy("size").agg(F.count("*").alias("truths"))
-    return n.join(per, "size").select("size", "truths", "classes", "map50", "map50_95")
+    sizes = images.sparkSession.createDataFrame([(x,) for x in ("small", "medium", "large")], "size string")
+    found = sizes.join(n, "size", "left").join(per, "size", "left")
+    return found.select("size", F.coalesce("truths", F.lit(0)).alias("truths"), F.coalesce("classes", F.lit(0)).alias("classes"), "map50", "map50_95")
 
 
 def ranked(models: DataFrame, keys: list[tuple[str, bool]], ordinal: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,28 +28,27 @@ def greedy_split(groups: DataFrame, seed: int, ratios: dict[str, float] = RATIOS
     items = groups.agg(F.sum("size")).first()[0] or 0
     names = sorted(totals)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes, counts = dict.fromkeys(ratios, 0), {s: dict.fromkeys(names, 0) for s in ratios}
-
-        def errors(chosen: str, size: int, own: dict) -> tuple[float, float]:
-            by_size = by_class = 0.0
-            for s, ratio in ratios.items():
-                extra = s == chosen
-                by_size += ((sizes[s] + size * extra - items * ratio) / max(items * ratio, 1)) ** 2
-                for c in names:
-                    goal = totals[c] * ratio
-                    by_class += ((counts[s][c] + own.get(c, 0) * extra - goal) / max(goal, 1)) ** 2
-            return by_size + by_class / max(len(names), 1), sizes[chosen] / max(items * ratios[chosen], 1)
+    shares = np.array(list(ratios.values()))
+    goal, class_goals = items * shares, shares[:, None] * np.array([float(totals[c]) for c in names])[None, :]
+    place = {c: i for i, c in enumerate(names)}
 
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        splits, n = list(ratios), len(ratios)
+        filled, counts = np.zeros(n), np.zeros((n, len(names)))
+        size_by, class_by = np.maximum(goal, 1), np.maximum(class_goals, 1)
         for x in batches:
             out = []
             for size, classes in zip(x["size"], x["classes"], strict=True):
-                own = dict(classes)
-                best = min(ratios, key=lambda s: errors(s, size, own))
-                sizes[best] += size
-                for c, n in own.items():
-                    counts[best][c] += n
-                out.append(best)
+                own = np.zeros(len(names))
+                for c, k in dict(classes).items():
+                    own[place[c]] = k
+                # An error is the sum over all splits; a choice changes that of its own split alone.
+                now = ((filled - goal) / size_by) ** 2 + (((counts - class_goals) / class_by) ** 2).sum(1) / max(len(names), 1)
+                then = ((filled + size - goal) / size_by) ** 2 + (((counts + own - class_goals) / class_by) ** 2).sum(1) / max(len(names), 1)
+                best = min(range(n), key=lambda s: (round(then[s] - now[s], 12), filled[s] / size_by[s]))
+                filled[best] += size
+                counts[best] += own
+                out.append(splits[best])
             yield pd.DataFrame({"group": x["group"], "split": out})
 
     known = F.create_map(*[F.lit(v) for c in names for v in (c, 1.0 / totals[c])]) if names else F.lit(None).cast("map<string,double>")
@@ -67,7 +67,7 @@ def deficit_select(rows: DataFrame, key: str, classes: str, count: int, seed: in
     """
     n = rows.count()
     if not 0 <= count <= n:
-        raise ValueError("selection count is outside the available row count")
+        raise ValueError(f"{count} of {n} rows can't be chosen")
     tagged = rows.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.col(classes))).alias("classes"), hash_order(seed, F.col(key)).alias("tie"))
     totals = {r[0]: r[1] for r in tagged.select(F.explode("classes").alias("c")).groupBy("c").count().collect()}
     goals = {c: t * count / max(n, 1) for c, t in totals.items()}

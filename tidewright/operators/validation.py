@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.scalars import number
+
 SCHEMA = ("suite", "rule", "severity", "key", "detail")
 
 
@@ -20,10 +22,9 @@ def first_failure(rules: list[tuple[str, Column]]) -> Column:
 
 def annotation_rules(tokens: Column, classes: int) -> list[tuple[str, Column]]:
     """The ordered rules of a box line: class, centre and size as five numbers, the last four shares of the image."""
-    value = lambda i: F.get(tokens, i).try_cast("double")
-    v = [value(i) for i in range(5)]
+    v = [number(F.get(tokens, i)) for i in range(5)]
     shares = v[1:]
-    bad_number = reduce(lambda a, b: a | b, [x.isNull() | F.isnan(x) for x in v])
+    bad_number = reduce(lambda a, b: a | b, [x.isNull() for x in v])
     half_w, half_h = v[3] / 2, v[4] / 2
     return [
         ("unsupported_annotation_line", F.size(tokens) != 5),
@@ -31,7 +32,7 @@ def annotation_rules(tokens: Column, classes: int) -> list[tuple[str, Column]]:
         ("unknown_class", (v[0] != F.floor(v[0])) | (v[0] < 0) | (v[0] >= classes)),
         ("non_normalized_box", reduce(lambda a, b: a | b, [(x < 0) | (x > 1) for x in shares])),
         ("non_positive_box", (v[3] <= 0) | (v[4] <= 0)),
-        ("box_outside_image", (v[1] - half_w < -1e-9) | (v[1] + half_w > 1 + 1e-9) | (v[2] - half_h < -1e-9) | (v[2] + half_h > 1 + 1e-9)),
+        ("box_outside_image", (v[1] - half_w < 0) | (v[1] + half_w > 1) | (v[2] - half_h < 0) | (v[2] + half_h > 1)),
     ]
 
 
