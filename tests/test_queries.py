@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidewright.plans import curation, portable
+from tidewright.plans import curation, portable, suites
 
-QUERIES, SQL = portable.QUERIES | curation.QUERIES, portable.SQL | curation.SQL
+QUERIES, SQL = portable.QUERIES | curation.QUERIES | suites.QUERIES, portable.SQL | curation.SQL | suites.SQL
 
 
 @pytest.fixture(scope="module")

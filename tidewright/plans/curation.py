@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidewright.functions import scalars as S
@@ -133,25 +131,40 @@ def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.overlap(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), split.alias("split")), "split", "h")
 
 
+def _gram(k: int):
+    """The key of the ``k`` words of ``w`` from place i on."""
+    return lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice("w", i, k), " "))
+
+
 @query("q16_benchmark_contamination", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain the text of an item. The item's words 2 to 6 are whole words of such a document, so they are the
-    key of an equi-join, and the text itself is tested after it. Items too short for that are tested against all documents, in
-    one bounded block."""
+    """Documents that contain the text of an item. The item's words 2 to 6, or as many as it has but its first and last, are whole words
+    of such a document, so they are the key of an equi-join, and the text itself is tested after it. Items of one or two words
+    meet the documents that have their first sign: nothing is left out, however many items there are."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     items = items.withColumn("w", F.split("item", r"\s+"))
-    keyed = items.where(F.size("w") >= 7).select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("key"))
+    # An item of n words has n - 2 whole words inside, of which up to five are its key; shorter ones have none and are few or none.
+    inner = F.greatest(F.least(F.size("w") - 2, F.lit(5)), F.lit(0))
+    keyed = items.withColumn("k", inner).withColumn("key", F.xxhash64("k", F.array_join(F.slice("w", 2, F.greatest("k", F.lit(1))), " "))).drop("w")
+    sizes = [r[0] for r in keyed.where("k > 0").select("k").distinct().collect()]  # five numbers at most
     words = docs.where("text is not null").select("doc_id", F.split("text", r"\s+").alias("w"))
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))).alias("key"))
-    pairs = grams.join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = pairs.join(docs, "doc_id").join(keyed.drop("key"), "item_id").where(F.contains("text", "item"))
-    short = items.where(F.size("w") < 7).select("item_id", "item").limit(1001).collect()
-    if len(short) > 1000:
-        raise ValueError("over 1000 items have under seven words")
-    if short:
-        block = spark.createDataFrame(short, "item_id long, item string")
-        return found.select("doc_id", "item_id").unionByName(docs.join(F.broadcast(block), F.contains("text", "item")).select("doc_id", "item_id"))
-    return found.select("doc_id", "item_id")
+    found = None
+    for k in sorted(sizes):
+        at = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
+        grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(at, _gram(k)))).alias("key"))
+        pairs = grams.join(keyed.where(F.col("k") == k).select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+        found = pairs if found is None else found.unionAll(pairs)
+    short = keyed.where("k = 0").select("item_id", "item")
+    if not short.isEmpty():
+        # Items of one or two words have no whole word inside. Their first signs are a key: every place of a text that has them is one.
+        sign = F.substring("item", 1, 1)
+        at = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("sign"))
+        blank = short.where("item = ''").join(docs.where("text is not null").select("doc_id"), F.lit(True)).select("doc_id", "item_id")
+        pairs = at.join(short.where("item <> ''").select("item_id", sign.alias("sign")), "sign").select("doc_id", "item_id").unionAll(blank)
+        found = pairs if found is None else found.unionAll(pairs)
+    if found is None:
+        return docs.join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id")
+    return found.join(docs, "doc_id").join(keyed.select("item_id", "item"), "item_id").where(F.contains("text", "item")).select("doc_id", "item_id")
 
 
 @query("q17_suffix_unique_join", """SELECT page_id, doc_id FROM (SELECT page_id, doc_id, count(*) OVER (PARTITION BY page_id) AS n FROM pages JOIN documents ON url LIKE '%/' || cast(doc_id AS varchar)) t WHERE n = 1""")
@@ -282,7 +295,8 @@ def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(rows, ["lang"], totals, [F.desc("n_chars"), F.col("doc_id")]).select("lang", F.round("ap", 9).alias("ap"))
 
 
-@query("q46_confusion_matrix_normalised")
+@query("q46_confusion_matrix_normalised", f"""WITH near AS ({SQL['q20_nearest_cross_group']}), c AS (SELECT own, other, count(*) AS n FROM near GROUP BY own, other)
+SELECT own, other, n, n / cast(greatest(sum(n) OVER (PARTITION BY other), 1) AS double) AS share FROM c""")
 def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the query rows by the label of their nearest row of another label, by share of the column."""
     n = q20(spark, sf_dir).groupBy("own", "other").agg(F.count("*").alias("n"))
@@ -344,7 +358,7 @@ def q62(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q63_annotation_rules", """WITH v AS (SELECT l_orderkey, l_linenumber, l_linenumber % 5 AS c, (l_partkey % 110) / 100.0::DOUBLE AS x, 0.5::DOUBLE AS y, (l_suppkey % 40) / 100.0::DOUBLE AS w, 0.2::DOUBLE AS h FROM lineitem)
 SELECT coalesce(CASE WHEN l_orderkey % 13 = 0 THEN 'unsupported_annotation_line' WHEN l_orderkey % 17 = 0 THEN 'non_numeric_annotation' WHEN c >= 4 THEN 'unknown_class' WHEN x > 1 THEN 'non_normalized_box' WHEN w <= 0 THEN 'non_positive_box'
-  WHEN x - w / 2 < -1e-9 OR x + w / 2 > 1 + 1e-9 THEN 'box_outside_image' END, 'ok') AS code, count(*) AS n FROM v GROUP BY 1""")
+  WHEN x - w / 2 < 0 OR x + w / 2 > 1 THEN 'box_outside_image' END, 'ok') AS code, count(*) AS n FROM v GROUP BY 1""")
 def q63(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box lines made of order lines, each with the first rule it breaks."""
     k = F.col("l_orderkey")
@@ -354,11 +368,8 @@ def q63(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.coalesce(validation.first_failure(validation.annotation_rules(F.col("t"), 4)), F.lit("ok")).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("q64_canonical_json_hash")
+@query("q64_canonical_json_hash", r"""SELECT event_id, sha256('{"event_type":' || coalesce('"' || event_type || '"', 'null') || ',"props":' || coalesce('"' || replace(replace(props, '\', '\\'), '"', '\"') || '"', 'null') || ',"user_id":' || coalesce(cast(user_id AS varchar), 'null') || '}') AS identity FROM events""")
 def q64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The identity of each event's fields as canonical JSON, in Arrow batches."""
-    @F.pandas_udf(T.StringType())
-    def digest(kind: pd.Series, user: pd.Series, props: pd.Series) -> pd.Series:
-        return pd.Series([S.canonical_hash({"event_type": k, "user_id": None if pd.isna(u) else int(u), "props": p}) for k, u, p in zip(kind, user, props, strict=True)])
-
-    return table(spark, sf_dir, "events").select("event_id", digest("event_type", "user_id", "props").alias("identity"))
+    """The identity of each event's fields as canonical JSON."""
+    fields = {"event_type": S.json_text(F.col("event_type")), "user_id": S.json_value(F.col("user_id"), "long"), "props": S.json_text(F.col("props"))}
+    return table(spark, sf_dir, "events").select("event_id", F.sha2(S.canonical_json(fields), 256).alias("identity"))
