@@ -127,21 +127,21 @@ def size_ap(images: DataFrame, key: str, thresholds: int = 10) -> DataFrame:
     t = truths.groupBy(key, "class", "size").agg(F.array_sort(F.collect_list(F.struct("no", "box"))).alias("truths"))
     g = guesses.groupBy(key, "class", "size").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "box", "id"))).alias("guesses"))
     steps = F.explode(F.transform(F.sequence(F.lit(0), F.lit(thresholds - 1)), lambda i: F.struct(i.alias("step"), (F.lit(0.5) + i * F.lit(0.55 - 0.5)).alias("least"))))
-    both = g.join(t, [key, "class", "size"], "left").withColumn("l", steps)
     owned = F.coalesce("truths", F.array().cast("array<struct<no:int,box:struct<x1:double,y1:double,x2:double,y2:double>>>"))
+    # Overlaps are computed once, before the thresholds multiply the rows; those below the least threshold can't match.
+    overlaps = F.transform("guesses", lambda p: F.filter(F.transform(owned, lambda x: F.struct(iou(p["box"], x["box"]).alias("iou"), (-x["no"]).alias("back"))), lambda x: x["iou"] >= 0.5))
+    both = g.join(t, [key, "class", "size"], "left").withColumn("overlaps", overlaps).drop("truths").withColumn("l", steps)
     state = "struct<used:array<int>,out:array<boolean>>"
 
-    def step(acc: Column, p: Column) -> Column:
-        free = F.filter(owned, lambda x: ~F.array_contains(acc["used"], x["no"]))
-
+    def step(acc: Column, near: Column) -> Column:
         def added(best: Column) -> Column:
             hit = F.coalesce(best["iou"] >= F.col("l.least"), F.lit(False))
             return F.struct(F.when(hit, F.concat(acc["used"], F.array(-best["back"]))).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(hit)).alias("out")).cast(state)
 
-        return _let(F.array_max(F.transform(free, lambda x: F.struct(iou(p["box"], x["box"]).alias("iou"), (-x["no"]).alias("back")))), added)
+        return _let(F.array_max(F.filter(near, lambda x: ~F.array_contains(acc["used"], -x["back"]))), added)
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<boolean>").alias("out")).cast(state)
-    hits = both.withColumn("hits", F.aggregate("guesses", start, step)["out"])
+    hits = both.withColumn("hits", F.aggregate("overlaps", start, step)["out"])
     scored = hits.select(key, "class", "size", F.col("l.step").alias("step"), F.explode(F.arrays_zip("guesses", "hits")).alias("z"))
     scored = scored.select("class", "size", "step", F.col("z.hits").alias("hit"), F.col("z.guesses.s").alias("s"), F.col(key).alias("k"), F.col("z.guesses.box").alias("b"), F.col("z.guesses.id").alias("id"))
     totals = truths.groupBy("class", "size").agg(F.count("*").alias("total"))
