@@ -28,6 +28,21 @@ def test_hamming_pairs_against_all_pairs(spark):
     assert rows(graph.hamming_pairs(df, "k", "h", 6)) == want
 
 
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_nearest_in_blocks_against_all_rows(spark, block):
+    rng = random.Random(11)
+    data = [(i, rng.randrange(3), rng.getrandbits(6) - 32 << 20) for i in range(80)] + [(200, None, 5), (201, 1, None)]
+    df = spark.createDataFrame(data, "k long, g int, h long").repartition(6)
+    got = rows(graph.nearest_in_blocks(df, "k", "g", "h", F.col("k") % 7 == 0, block, 64))
+    full = [d for d in data if d[1] is not None and d[2] is not None]
+    want = []
+    for k, g, h in full:
+        if k % 7 == 0:
+            d, b, o = min((((h ^ y) & (2**64 - 1)).bit_count(), j, x) for j, x, y in full if x != g)
+            want.append((k, g, b, o, d))
+    assert got == sorted(want)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (3, 2)]
     nodes = spark.createDataFrame([(i,) for i in [*range(45), *range(100, 131)]], "node long")

@@ -178,10 +178,7 @@ def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM b x JOIN b y ON x.label <> y.label WHERE x.vec_id % 100 = 0) SELECT a, own, b, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS no FROM d) t WHERE no = 1""")
 def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest row of another label for every row whose id is divisible by 100."""
-    bits = signatures(spark, sf_dir)
-    ask = bits.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("own"), F.col("bits").alias("x"))
-    near = ask.join(bits, F.col("own") != F.col("label")).select("a", "own", F.struct(S.hamming(F.col("x"), F.col("bits")).alias("distance"), F.col("vec_id").alias("b"), F.col("label").alias("other")).alias("s"))
-    return near.groupBy("a", "own").agg(F.min("s").alias("s")).select("a", "own", "s.b", "s.other", "s.distance")
+    return graph.nearest_in_blocks(signatures(spark, sf_dir), "vec_id", "label", "bits", F.col("vec_id") % 100 == 0)
 
 
 @query("q24_positional_compare", r"""WITH t AS (SELECT doc_id, text, replace(text, 'the', 'teh') AS changed FROM documents WHERE doc_id IS NOT NULL),
