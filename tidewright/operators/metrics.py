@@ -167,3 +167,34 @@ def changes(rows: DataFrame, order: str, value: str) -> DataFrame:
     w = W.orderBy(order)
     first = F.first(value).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return rows.withColumns({"from_previous": F.col(value) - F.lag(value).over(w), "from_first": F.col(value) - first, "relative": (F.col(value) - first) / F.nullif(first, F.lit(0.0))})
+
+
+def grid(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n) for every pair of a value of each column, 0 for pairs without a row. The two columns have few values."""
+    pairs = rows.select(a).distinct().join(rows.select(b).distinct(), F.lit(True))
+    return pairs.join(rows.groupBy(a, b).agg(F.count("*").alias("n")), [a, b], "left").na.fill(0, ["n"])
+
+
+def class_report(classes: DataFrame, measured: DataFrame, columns: list[str]) -> DataFrame:
+    """A row of ``columns`` for every class of ``classes(class)``, null where nothing is measured, and the means over the others as class ``all``."""
+    each = classes.join(measured.select("class", *columns), "class", "left")
+    means = each.agg(*[F.avg(c).alias(c) for c in columns]).select(F.lit("all").alias("class"), *columns)
+    return each.select(F.col("class").cast("string").alias("class"), *columns).unionByName(means)
+
+
+def latency(rows: DataFrame, stages: list[str], without: str = "loss") -> DataFrame:
+    """``rows`` with ``total``, the sum of the stages' milliseconds but for ``without``, and images a second, null for no time."""
+    parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in stages if c != without]
+    total = sum(parts[1:], parts[0])
+    return rows.withColumns({"total": total, "throughput": F.when(total > 0, 1000 / total)})
+
+
+def change_counts(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys are changed, unchanged, added and removed; every other column counts, null equals null."""
+    others = [c for c in before.columns if c != key]
+    one = lambda df, name: df.select(F.col(key).alias("k"), F.struct(*others).alias(name))
+    both = one(before, "x").join(one(after, "y"), "k", "full")
+    same = F.col("x").eqNullSafe(F.col("y"))
+    held = F.col("x").isNotNull() & F.col("y").isNotNull()
+    count = lambda c, name: F.count_if(c).alias(name)
+    return both.agg(count(held & ~same, "changed"), count(held & same, "unchanged"), count(F.col("x").isNull(), "added"), count(F.col("y").isNull(), "removed"))
