@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,6 +43,14 @@ def large_batches(spark: SparkSession, rows: int = 50_000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def given_back() -> None:
+    """Gives memory that is free in this process back to the system: a Python worker is kept for the stages after its own,
+    beside a JVM that grows to its whole heap in those without Python."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``."""
     return F.crc32(doc_id.cast("string")) % F.lit(by)
@@ -78,15 +88,20 @@ def class_counts(rows: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
 
 
-def training_texts(spark: SparkSession, sf_dir: str, column: str, fold: Column, per_class: int, longest: int) -> list[tuple[str, int]]:
-    """(text, label) of labelled documents for fitting: a bounded sample, ordered, on the driver.
+def training_rows(spark: SparkSession, sf_dir: str, column: str, fold: Column, per_class: int, longest: int) -> DataFrame:
+    """(doc_id, text, label) of labelled documents for fitting: a bounded sample.
 
     ``fold`` says of ``doc_id`` whether a row may be learnt from. At most ``per_class`` documents of each label are
-    taken, and none of over ``longest`` characters, so at most ``2 * per_class * longest`` characters arrive. Null
+    taken, and none of over ``longest`` characters, so at most ``2 * per_class * longest`` characters. Null
     ids, labels and texts are left out; of a document labelled twice the larger label counts.
     """
     chosen = bounded_per_class(labelled(spark, sf_dir, column, fold), "label", "doc_id", per_class)
     texts = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
     # The sample has at most 2 * per_class rows of two numbers.
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def training_texts(spark: SparkSession, sf_dir: str, column: str, fold: Column, per_class: int, longest: int) -> list[tuple[str, int]]:
+    """(text, label) of ``training_rows``, ordered, on the driver."""
+    found = training_rows(spark, sf_dir, column, fold, per_class, longest).orderBy("doc_id")
     return [(r["text"], int(r["label"])) for r in found.select("text", "label").collect()]

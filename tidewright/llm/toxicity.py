@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import class_counts, held_out, labelled, remainder, small_batches, table, training_texts
+from .common import class_counts, given_back, held_out, labelled, remainder, small_batches, table, training_rows
 
 #: Of each label at most PER_CLASS texts, none of over LONGEST characters, are learnt from.
 PER_CLASS, LONGEST = 4000, 20_000
@@ -182,6 +182,8 @@ def scored(text: Column, model: Model | None) -> Column:
         of = model.scorer()
         for texts in batches:
             yield pd.Series(of(list(texts)), dtype="float64")
+        del of
+        given_back()
 
     return score(text)
 
@@ -189,12 +191,23 @@ def scored(text: Column, model: Model | None) -> Column:
 def fit(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> Model | None:
     """Learns from documents whose crc32 of the id modulo 3 is not 1.
 
-    The sample's bound changes the mix of labels, so the bias is shifted by the log-odds that the bound took: a score means the
+    The sample, at most ``2 * per_class`` texts, is learnt from in one task of an executor, so that neither texts nor hashes ever are in the
+    driver's memory, which gets the weights alone (2 MB). The sample's bound changes the mix of labels, so the bias is shifted by the log-odds that the bound took: a score means the
     same whether or not the bound applies.
     """
     small_batches(spark)
     fold = remainder(F.col("doc_id"), 3) != 1
-    model = train(training_texts(spark, sf_dir, "toxic", fold, per_class, LONGEST))
+
+    def learnt(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        model = train(list(zip(rows["text"], rows["label"].astype(int), strict=True)))
+        given_back()  # training takes some 0.8 GB
+        found = [] if model is None else [(model.weight.tobytes(), model.bias)]
+        return pd.DataFrame(found, columns=["weight", "bias"])
+
+    texts = training_rows(spark, sf_dir, "toxic", fold, per_class, LONGEST)
+    got = texts.groupBy(F.lit(0).alias("all")).applyInPandas(learnt, "weight binary, bias double").collect()
+    model = Model(np.frombuffer(bytes(got[0]["weight"]), np.float32), got[0]["bias"]) if got else None
     if model is not None:
         of = class_counts(labelled(spark, sf_dir, "toxic", fold), "label")
         model.bias += log(of[1] / min(of[1], per_class)) - log(of[0] / min(of[0], per_class))
