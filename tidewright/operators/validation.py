@@ -36,7 +36,7 @@ def annotation_rules(tokens: Column, classes: int) -> list[tuple[str, Column]]:
     ]
 
 
-def violations(suite: str, rules: list[tuple[str, str, DataFrame, Column, Column]]) -> DataFrame:
+def violations(suite: str, rules: list[tuple[str | Column, str, DataFrame, Column, Column]]) -> DataFrame:
     """The union of (rule, severity, rows, key, detail) as one table of SCHEMA."""
     parts = [df.select(F.lit(suite).alias("suite"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), key.cast("string").alias("key"), detail.cast("string").alias("detail")) for rule, severity, df, key, detail in rules]
     return reduce(DataFrame.unionByName, parts)
