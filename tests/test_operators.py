@@ -362,3 +362,36 @@ def test_stream_equals_batch(spark, sf):
     want = daily(spark.read.parquet(f"{sf}/events.parquet")).select(F.to_date("w.start"), "event_type", "code", "n")
     assert rows(run_daily(spark, sf)) == rows(want)
     assert validated(spark.createDataFrame([(None, 1.0), (1, None), (1, -1.0), (1, 1.0)], "user_id long, value double")).select("code").collect()[2][0] == "non_positive"
+
+
+def test_size_ap_over_many_parts_without_a_row_per_threshold(spark, monkeypatch):
+    """Equal scores, crowded images, null classes and thresholds at which a later prediction takes what an earlier one leaves; sorted once."""
+    monkeypatch.setattr(metrics, "average_precision", None)
+    rng = random.Random(12)
+    data = []
+    for i in range(150):
+        at = [(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(rng.randint(0, 8))]
+        box = lambda x, y, d: (float(x), float(y), float(x + 30 + d), float(y + 30 + d))
+        data.append((i, [(k, rng.choice([0, 1]), box(*p, 0)) for k, p in enumerate(at)], [(k, rng.choice([0, 1, None]), rng.choice([0.5, 0.7, rng.random()]), box(x + rng.randint(0, 5), y, rng.choice([0, 1, 2, 5]))) for k, (x, y) in enumerate(at + at[:2])]))
+    got = {r["size"]: r for r in metrics.size_ap(spark.createDataFrame(data, IMAGES).repartition(7), "image").collect()}
+    for size in ("small", "medium"):
+        aps, count = [], 0
+        for c in (0, 1):
+            own = {i: [t[2] for t in ts if t[1] == c and plain_size(t[2]) == size] for i, ts, _ in data}
+            total = sum(map(len, own.values()))
+            if not total:
+                continue
+            count += total
+            ranked = sorted((-s, i, b, n) for i, _, gs in data for n, k, s, b in gs if k == c and plain_size(b) == size)
+            for step in range(10):
+                taken, hits = set(), []
+                for _, i, b, _ in ranked:
+                    best = min(((-plain_iou(b, t), n) for n, t in enumerate(own[i]) if (i, n) not in taken), default=(1, None))
+                    hits.append(-best[0] >= 0.5 + step * (0.55 - 0.5))
+                    if hits[-1]:
+                        taken.add((i, best[1]))
+                aps.append((step, plain_ap(hits, total) if hits else 0.0))
+        assert got[size]["truths"] == count
+        if count:
+            assert got[size]["map50_95"] == pytest.approx(sum(a for _, a in aps) / len(aps), abs=1e-9)
+            assert got[size]["map50"] == pytest.approx(sum(a for s, a in aps if s == 0) / sum(s == 0 for s, _ in aps), abs=1e-9)
