@@ -110,7 +110,8 @@ def features(rows: DataFrame, statistics: list[DataFrame], folds: list[DataFrame
             n -= F.coalesce(F.when(new, F.col("_host_n")).otherwise(F.col("_n")), F.lit(0))
             bad -= F.coalesce(F.when(new, F.col("_host_bad")).otherwise(F.col("_bad")), F.lit(0))
         rate = F.when(n > 0, (bad + SMOOTH * 0.5) / (n + SMOOTH)).otherwise(-1.0)
-        hosts = hosts.withColumns({f"rate_{k}": rate, f"times_{k}": F.log1p(n.cast("double"))}).drop("suffix", "n", "bad", "_n", "_bad")
+        times = F.coalesce("times", F.lit(0.0)) if folds is None else F.log1p(n.cast("double"))
+        hosts = hosts.withColumns({f"rate_{k}": rate, f"times_{k}": times}).drop("suffix", "n", "bad", "times", "_n", "_bad")
     return out.join(hosts.drop("_host_n", "_host_bad"), by)
 
 
@@ -121,11 +122,11 @@ NAMES = [
 
 
 def suffix_statistics(labelled: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Of ``labelled(_host, _label, _fold)``: (suffix, n, bad) for each number of labels, and at last for whole hosts; the former by fold."""
+    """Of ``labelled(_host, _label, _fold)``: (suffix, n, bad, times) for each number of labels, and at last for whole hosts, times being ln(1 + n); (suffix, n, bad) of the former by fold."""
     folds, sums = [], (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     for ending in [*[_suffix(F.col("_host"), k) for k in LEVELS], F.col("_host")]:
         folds.append(checkpoint(labelled.groupBy(ending.alias("suffix"), "_fold").agg(F.count("*").alias("n"), F.sum("_label").alias("bad"))))
-    return [checkpoint(x.groupBy("suffix").agg(*sums)) for x in folds], folds[:-1]
+    return [checkpoint(x.groupBy("suffix").agg(*sums).withColumn("times", F.log1p(F.col("n").cast("double")))) for x in folds], folds[:-1]
 
 
 class Trees:
