@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -51,6 +52,13 @@ def given_back() -> None:
         trim(0)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more: it does so when the driver collects its garbage,
+    which a driver with memory to spare does only every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``."""
     return F.crc32(doc_id.cast("string")) % F.lit(by)
