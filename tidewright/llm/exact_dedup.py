@@ -9,7 +9,9 @@ of one digest never merge:
 
 ``exact_groups`` then lets every row look up its group by SHA-256 and a second, independent hash of the text. That join's
 lookup side is unique and both exchanges below it are Spark's own, so adaptive execution splits the partition of a hot
-group. ``dedup_rows`` needs no lookup: the winner's other columns travel through the three steps.
+group. ``dedup_rows`` needs no lookup: the winner's other columns travel through the steps. It has no first step: columns of any type
+make Spark combine by sorting whole rows, and a sort beside the reader's row groups and batches of texts was more than a small heap holds. So rows
+are dealt over the salts as they are read, and the texts are sorted where nothing else needs memory, once for both of the other steps.
 
 Cases: null text counts as empty; an empty table gives no rows; a null id loses against any other, and a group of null
 ids alone has a null keep_id; rows that repeat an id and text are one document: ``exact_groups`` gives each of them the
@@ -55,7 +57,8 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)])
     rows = _keyed(docs, id_col, text_col, salts, kept.alias("_kept"), F.xxhash64(*plain).alias("_tie"))
     order = F.struct("_id", "_tie")
-    salted = rows.groupBy("_sha", "_check", "_salt", "_text").agg(F.max_by("_kept", order).alias("_kept"), F.max(order).alias("_order"))
+    # The salt comes last, so that the order by text serves the next step too.
+    salted = rows.repartition("_sha", "_check", "_salt").groupBy("_sha", "_check", "_text", "_salt").agg(F.max_by("_kept", order).alias("_kept"), F.max(order).alias("_order"))
     won = salted.groupBy("_sha", "_check", "_text").agg(F.max_by("_kept", "_order").alias("_kept"))
     back = {f.name: F.col(f"_kept.c{i}") for i, f in enumerate(others)} | {text_col: F.when(~F.col("_kept._null"), F.col("_text"))}
     return won.select(*[back[c].alias(c) for c in docs.columns])
